@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from photoloom.llm.encoding import encode, token_counts
 from photoloom.llm.mapping import mapped_found
 from photoloom.llm.matching import matches_found
+from photoloom.llm.packing import pack
+from photoloom.llm.quality import structure_found, text_quality
+from photoloom.session import cut
 from photoloom.sources.tables import table
 
 
@@ -19,5 +23,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches_found(*(table(spark, sf_dir, t) for t in ("photometry", "wcs", "comp_stars")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(cut(token_counts(table(spark, sf_dir, "documents"))), table(spark, sf_dir, "pack_sizes"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics,
+}
 ORACLES: dict[str, str] = {}
