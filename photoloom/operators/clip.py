@@ -32,27 +32,41 @@ def array_std(a: Column, mean: Column) -> Column:
     return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a)))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (the optimizer would copy a plain column into every lambda that uses it)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def clip_groups(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median", spread: str = "std") -> DataFrame:
     """``keys``, kept (the sorted readings that are left), low and high (the last bounds)."""
     v = F.col(value) if isinstance(value, str) else value
-    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~F.isnan("_v"), F.col("_v")))).alias("kept"))
-    g = g.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
-    for _ in range(iterations):
-        g = g.withColumn("_mean", array_mean(F.col("kept")))
-        g = g.withColumn("_c", array_median(F.col("kept")) if centre == "median" else F.col("_mean"))
-        if spread == "std":
-            g = g.withColumn("_s", array_std(F.col("kept"), F.col("_mean")))
-        else:
-            g = g.withColumn("_s", MAD_TO_SIGMA * array_median(F.array_sort(F.transform("kept", lambda x: F.abs(x - F.col("_c"))))))
-        g = g.withColumns({"low": F.col("_c") - k * F.col("_s"), "high": F.col("_c") + k * F.col("_s")})
-        g = g.withColumn("kept", F.filter("kept", lambda x: (x >= F.col("low")) & (x <= F.col("high"))))
-    return g.select(*keys, "kept", "low", "high")
+    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~F.isnan("_v"), F.col("_v")))).alias("_a"))
+    nothing = F.lit(None).cast("double")
+
+    def round_(state: Column, _: Column) -> Column:
+        a = state["kept"]
+
+        def bounded(m: Column) -> Column:
+            if spread == "std":
+                s = array_std(a, m["mean"])
+            else:
+                s = MAD_TO_SIGMA * array_median(F.array_sort(F.transform(a, lambda x: F.abs(x - m["centre"]))))
+            bounds = F.struct((m["centre"] - k * s).alias("low"), (m["centre"] + k * s).alias("high"))
+            return _let(bounds, lambda b: F.struct(F.filter(a, lambda x: (x >= b["low"]) & (x <= b["high"])).alias("kept"), b["low"].alias("low"), b["high"].alias("high")))
+
+        mean = array_mean(a)
+        return _let(F.struct(mean.alias("mean"), (array_median(a) if centre == "median" else mean).alias("centre")), bounded)
+
+    start = F.struct(F.col("_a").alias("kept"), nothing.alias("low"), nothing.alias("high"))
+    return g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, round_).alias("_s")).select(*keys, "_s.kept", "_s.low", "_s.high")
 
 
 def sigma_clip_stats(df: DataFrame, keys: list[str], value: str | Column, k: float, **how) -> DataFrame:
     """``keys``, n, mean, median, std of what sigma clipping leaves."""
-    g = clip_groups(df, keys, value, k, **how).withColumn("mean", array_mean(F.col("kept")))
-    return g.select(*keys, F.size("kept").alias("n"), "mean", array_median(F.col("kept")).alias("median"), array_std(F.col("kept"), F.col("mean")).alias("std"))
+    g = clip_groups(df, keys, value, k, **how)
+    a = F.col("kept")
+    std = _let(array_mean(a), lambda m: array_std(a, m))
+    return g.select(*keys, F.size(a).alias("n"), array_mean(a).alias("mean"), array_median(a).alias("median"), std.alias("std"))
 
 
 def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, **how) -> DataFrame:

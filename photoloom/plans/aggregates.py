@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photoloom.functions import photometric as P
 from photoloom.functions.random import normal_sample
 from photoloom.functions.sky import pixel_to_sky
-from photoloom.operators.clip import array_mean, array_median, array_std, clip_groups, sigma_clip_flags, sigma_clip_stats
+from photoloom.operators.clip import array_median, sigma_clip_flags, sigma_clip_stats
 from photoloom.operators.nearest import unambiguous
 from photoloom.operators.spatial import sky_pairs
 from photoloom.operators.spikes import image_times
@@ -19,11 +19,12 @@ from photoloom.plans.registry import Registry, Tables, r, sql_clip, sql_values
 
 query = Registry()
 c = F.col
-STATS = "count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std"
+STATS = "count(*) AS n, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS median, round(stddev_pop(v), 7) AS std"
 
 
 def _stats(df):
-    return df.withColumns({k: r(k) for k in ("mean", "median", "std")}).where("n > 0")
+    # Means of values with four decimals fall on ties of the sixth.
+    return df.withColumns({"mean": r("mean", 9), "median": r("median", 9), "std": r("std", 7)}).where("n > 0")
 
 
 @query("clip_airmass", f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames WHERE object_name IS NOT NULL AND object_name <> (SELECT mode(object_name) FROM frames)', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL")
@@ -33,9 +34,9 @@ def clip_airmass(t):
     return _stats(sigma_clip_stats(d, ["object_name", "filter_name"], "airmass", 1.5, centre="mean"))
 
 
-@query("clip_zero_points", f"WITH {sql_clip('SELECT image_id, mag_cali_trans - mags_fit AS v FROM photometry', 'image_id', 1.5)} SELECT image_id, {STATS} FROM c5 GROUP BY ALL")
+@query("clip_zero_points", f"WITH {sql_clip('SELECT image_id, mag_cali_no_trans - mags_fit AS v FROM photometry WHERE mag_cali_no_trans BETWEEN 5 AND 30', 'image_id', 1.5)} SELECT image_id, {STATS} FROM c5 GROUP BY ALL")
 def clip_zero_points(t):
-    return _stats(sigma_clip_stats(t.photometry, ["image_id"], c("mag_cali_trans") - c("mags_fit"), 1.5))
+    return _stats(sigma_clip_stats(t.photometry.where("mag_cali_no_trans BETWEEN 5 AND 30"), ["image_id"], c("mag_cali_no_trans") - c("mags_fit"), 1.5))
 
 
 @query("clip_flux_image", f"WITH {sql_clip('SELECT image_id, flux_fit AS v FROM photometry WHERE flux_fit <> 0', 'image_id', 1.5)} SELECT image_id, {STATS} FROM c5 GROUP BY ALL")
@@ -65,8 +66,8 @@ def clip_temperature(t):
 @query("clip_background", None)
 def clip_background(t):
     """Sky level and noise of each image: 5 sigma clipping with the scaled median absolute deviation."""
-    g = clip_groups(t.photometry, ["image_id"], c("flux_err"), 5.0, spread="mad").withColumn("mean", array_mean(c("kept")))
-    return g.select("image_id", F.size("kept").alias("n"), r(array_median(c("kept"))).alias("median"), r(array_std(c("kept"), c("mean"))).alias("std"))
+    g = sigma_clip_stats(t.photometry, ["image_id"], "flux_err", 5.0, spread="mad")
+    return g.select("image_id", "n", r("median").alias("median"), r("std").alias("std"))
 
 
 _RA, _DEC = sql_sky("x_fit", "y_fit")
@@ -106,26 +107,26 @@ def calibrate_simple(t):
     return m.join(g, "image_id").select("image_id", "object_id", "filter_name", "n_cal", r(c("mags_fit") + c("median")).alias("mag"), r("std").alias("mag_std"))
 
 
-@query("zp_statistic", f"{_CALIBRATORS} SELECT image_id, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most FROM z WHERE v IS NOT NULL GROUP BY image_id")
+@query("zp_statistic", f"{_CALIBRATORS} SELECT image_id, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 9) AS mean, round(stddev_pop(v), 7) AS std, round(min(v), 6) AS least, round(max(v), 6) AS most FROM z WHERE v IS NOT NULL GROUP BY image_id")
 def zp_statistic(t):
     z = zero_points(t).where("v IS NOT NULL").groupBy("image_id")
-    return z.agg(F.count("*").alias("n"), r(F.percentile("v", 0.5)).alias("median"), r(F.avg("v")).alias("mean"), r(F.stddev_pop("v")).alias("std"), r(F.min("v")).alias("least"), r(F.max("v")).alias("most"))
+    return z.agg(F.count("*").alias("n"), r(F.percentile("v", 0.5)).alias("median"), r(F.avg("v"), 9).alias("mean"), r(F.stddev_pop("v"), 7).alias("std"), r(F.min("v")).alias("least"), r(F.max("v")).alias("most"))
 
 
-@query("quasi_flux", f"WITH {sql_clip('SELECT image_id, flux_fit AS v FROM photometry WHERE flux_fit <> 0', 'image_id', 1.5)}, g AS (SELECT image_id, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(flux_fit / m, 6) AS flux FROM photometry JOIN g USING (image_id) WHERE m <> 0")
+@query("quasi_flux", f"WITH {sql_clip('SELECT image_id, flux_fit AS v FROM photometry WHERE flux_fit <> 0', 'image_id', 1.5)}, g AS (SELECT image_id, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(flux_fit / m, 9) AS flux FROM photometry JOIN g USING (image_id) WHERE m <> 0")
 def quasi_flux(t):
     g = sigma_clip_stats(t.photometry.where("flux_fit <> 0"), ["image_id"], "flux_fit", 1.5).where("median <> 0").select("image_id", "median")
-    return t.photometry.join(g, "image_id").select("image_id", "object_id", r(c("flux_fit") / c("median")).alias("flux"))
+    return t.photometry.join(g, "image_id").select("image_id", "object_id", r(c("flux_fit") / c("median"), 9).alias("flux"))
 
 
 _FLUX_NIGHT = _NIGHTLY.replace("mag_cali_trans AS v", "image_id, flux_fit AS v").replace("mag_cali_trans IS NOT NULL", "flux_fit <> 0")
 
 
-@query("flux_normalization", f"WITH d AS ({_FLUX_NIGHT}), {sql_clip('SELECT object_id, filter_name, night, v FROM d', 'object_id, filter_name, night', 1.5)}, g AS (SELECT object_id, filter_name, night, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(v / m, 6) AS flux FROM d JOIN g USING (object_id, filter_name, night) WHERE m <> 0")
+@query("flux_normalization", f"WITH d AS ({_FLUX_NIGHT}), {sql_clip('SELECT object_id, filter_name, night, v FROM d', 'object_id, filter_name, night', 1.5)}, g AS (SELECT object_id, filter_name, night, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(v / m, 9) AS flux FROM d JOIN g USING (object_id, filter_name, night) WHERE m <> 0")
 def flux_normalization(t):
     d = nightly(t, "flux_fit").where("flux_fit <> 0")
     g = sigma_clip_stats(d, ["object_id", "filter_name", "night"], "flux_fit", 1.5).where("median <> 0").drop("n", "mean", "std")
-    return d.join(g, ["object_id", "filter_name", "night"]).select("image_id", "object_id", r(c("flux_fit") / c("median")).alias("flux"))
+    return d.join(g, ["object_id", "filter_name", "night"]).select("image_id", "object_id", r(c("flux_fit") / c("median"), 9).alias("flux"))
 
 
 @query("image_statistics", "SELECT image_id, count(flux_fit) AS n, round(avg(flux_fit), 4) AS mean, round(quantile_cont(flux_fit, 0.5), 4) AS median, round(quantile_cont(flux_fit, 0.99), 4) AS p99, round(stddev_pop(flux_fit), 4) AS std, min(flux_fit) AS least, max(flux_fit) AS most FROM photometry GROUP BY image_id")
@@ -188,12 +189,12 @@ def best_isochrone(t):
     return d.groupBy("catalog_code").agg(*sums).select("catalog_code", best.alias("m")).select("catalog_code", "m.k", r("m.chi2", 4).alias("chi2"))
 
 
-@query("faintest_ten", "SELECT filter_name, round(avg(mag), 6) AS mean, round(quantile_cont(mag, 0.5), 6) AS median FROM (SELECT filter_name, mags_fit AS mag, row_number() OVER (PARTITION BY filter_name ORDER BY mags_fit DESC, object_id, image_id) AS k FROM (SELECT DISTINCT filter_name, mags_fit, object_id, image_id FROM photometry WHERE mags_fit < 30)) WHERE k <= 10 GROUP BY filter_name")
+@query("faintest_ten", "SELECT filter_name, round(avg(mag), 9) AS mean, round(quantile_cont(mag, 0.5), 6) AS median FROM (SELECT filter_name, mags_fit AS mag, row_number() OVER (PARTITION BY filter_name ORDER BY mags_fit DESC, object_id, image_id) AS k FROM (SELECT DISTINCT filter_name, mags_fit, object_id, image_id FROM photometry WHERE mags_fit < 30)) WHERE k <= 10 GROUP BY filter_name")
 def faintest_ten(t):
     """Limiting magnitude: the ten faintest of each filter. The top ten are found in each partition before anything is shuffled."""
     d = t.photometry.where("mags_fit < 30").select("filter_name", "mags_fit", "object_id", "image_id").distinct()
     top = d.withColumn("_k", F.row_number().over(W.partitionBy("filter_name").orderBy(F.desc("mags_fit"), "object_id", "image_id"))).where("_k <= 10")
-    return top.groupBy("filter_name").agg(r(F.avg("mags_fit")).alias("mean"), r(F.percentile("mags_fit", 0.5)).alias("median"))
+    return top.groupBy("filter_name").agg(r(F.avg("mags_fit"), 9).alias("mean"), r(F.percentile("mags_fit", 0.5)).alias("median"))
 
 
 @query("brightest_100", "SELECT cal_id, mag_v FROM (SELECT DISTINCT cal_id, mag_v FROM calib WHERE mag_v IS NOT NULL) ORDER BY mag_v, cal_id LIMIT 100")
@@ -207,11 +208,11 @@ def top_fifth_by_flux(t):
     return d.withColumn("p", F.percent_rank().over(W.partitionBy("image_id").orderBy(F.desc("flux_fit"), "object_id"))).where("p < 0.2").select("image_id", "object_id")
 
 
-@query("wide_magnitudes", "SELECT object_id, " + ", ".join(f"round(coalesce(avg(mag_cali_trans) FILTER (filter_name = '{f}'), 999.0), 6) AS {f}_transformed, round(coalesce(avg(mag_cali_no_trans) FILTER (filter_name = '{f}'), 999.0), 6) AS {f}_simple" for f in "BVRI") + " FROM photometry WHERE object_id IS NOT NULL GROUP BY object_id")
+@query("wide_magnitudes", "SELECT object_id, " + ", ".join(f"round(coalesce(avg(mag_cali_trans) FILTER (filter_name = '{f}'), 999.0), 9) AS {f}_transformed, round(coalesce(avg(mag_cali_no_trans) FILTER (filter_name = '{f}'), 999.0), 9) AS {f}_simple" for f in "BVRI") + " FROM photometry WHERE object_id IS NOT NULL GROUP BY object_id")
 def wide_magnitudes(t):
     """One row for each object, a column for each filter and kind; 999 where there is none."""
     p = t.photometry.where("object_id IS NOT NULL").groupBy("object_id").pivot("filter_name", list("BVRI")).agg(F.avg("mag_cali_trans").alias("transformed"), F.avg("mag_cali_no_trans").alias("simple"))
-    return p.select("object_id", *(r(F.coalesce(f"{f}_{k}", F.lit(999.0))).alias(f"{f}_{k}") for f in "BVRI" for k in ("transformed", "simple")))
+    return p.select("object_id", *(r(F.coalesce(f"{f}_{k}", F.lit(999.0)), 9).alias(f"{f}_{k}") for f in "BVRI" for k in ("transformed", "simple")))
 
 
 @query("long_magnitudes", "SELECT cal_id, 'mag_' || b AS band, v AS mag FROM (SELECT DISTINCT cal_id, mag_u, mag_b, mag_v, mag_r, mag_i FROM calib) s, LATERAL (VALUES ('u', mag_u), ('b', mag_b), ('v', mag_v), ('r', mag_r), ('i', mag_i)) x(b, v) WHERE v IS NOT NULL")
@@ -223,12 +224,12 @@ def long_magnitudes(t):
 _B, _V = 0.11, 0.047
 
 
-@query("transform_colour", f"WITH b AS (SELECT object_id, avg(mags_fit) AS b FROM photometry WHERE filter_name = 'B' GROUP BY 1), v AS (SELECT object_id, avg(mags_fit) AS v FROM photometry WHERE filter_name = 'V' GROUP BY 1) SELECT object_id, round(v + 24.3 + {_V!r} / (1 - {_B!r} + {_V!r}) * (b - v), 6) AS v_std FROM b JOIN v USING (object_id)")
+@query("transform_colour", f"WITH b AS (SELECT object_id, avg(mags_fit) AS b FROM photometry WHERE filter_name = 'B' GROUP BY 1), v AS (SELECT object_id, avg(mags_fit) AS v FROM photometry WHERE filter_name = 'V' GROUP BY 1) SELECT object_id, round(v + 24.3 + {_V!r} / (1 - {_B!r} + {_V!r}) * (b - v), 9) AS v_std FROM b JOIN v USING (object_id)")
 def transform_colour(t):
     """Magnitudes with a colour term: C = c2 / (1 - c1 + c2) for the second filter of a pair."""
     d = t.photometry.where("filter_name IN ('B', 'V')").groupBy("object_id").agg(*(F.avg(F.when(c("filter_name") == f, c("mags_fit"))).alias(f.lower()) for f in "BV"))
     term = _V / (1 - _B + _V)
-    return d.where("b IS NOT NULL AND v IS NOT NULL").select("object_id", r(c("v") + 24.3 + term * (c("b") - c("v"))).alias("v_std"))
+    return d.where("b IS NOT NULL AND v IS NOT NULL").select("object_id", r(c("v") + 24.3 + term * (c("b") - c("v")), 9).alias("v_std"))
 
 
 @query("transform_air_mass", f"WITH f AS (SELECT image_id, min(airmass) AS x FROM frames GROUP BY 1) SELECT image_id, object_id, round(mags_fit + 24.3 + (0.05 - -0.012 * coalesce(x, 1.0)) * 0.6, 6) AS mag FROM photometry JOIN f USING (image_id) WHERE filter_name = 'V'")
