@@ -194,3 +194,139 @@ def clean(image: np.ndarray, mask: np.ndarray, n: int = 5) -> np.ndarray:
         if np.isfinite(around).any():
             out[y, x] = np.nanmedian(around)
     return out
+
+
+def _moved(stamp: np.ndarray, dy: float, dx: float) -> np.ndarray:
+    """The stamp moved by parts of a pixel, exactly for a profile that the pixels sample well (phase shift)."""
+    fy, fx = np.fft.fftfreq(stamp.shape[0])[:, None], np.fft.rfftfreq(stamp.shape[1])[None, :]
+    return np.fft.irfft2(np.fft.rfft2(stamp) * np.exp(-2j * np.pi * (fy * dy + fx * dx)), s=stamp.shape)
+
+
+def empirical_psf(image: np.ndarray, x: np.ndarray, y: np.ndarray, half: int = 6) -> np.ndarray:
+    """Mean stamp of stars, each moved to the centre of a pixel and scaled to a sum of one."""
+    stamps = []
+    for cx, cy in zip(x, y, strict=True):
+        x0, y0 = int(round(cx)), int(round(cy))
+        part = image[max(y0 - half - 1, 0) : y0 + half + 2, max(x0 - half - 1, 0) : x0 + half + 2]
+        if part.shape != (2 * half + 3, 2 * half + 3):
+            continue
+        rim = np.concatenate([part[0], part[-1], part[:, 0], part[:, -1]])
+        stamp = _moved(part - np.median(rim), y0 - cy, x0 - cx)[1:-1, 1:-1]
+        if np.isfinite(stamp).all() and stamp.sum() > 0:
+            stamps.append(stamp / stamp.sum())
+    if not stamps:
+        raise ValueError("no star is far enough from the edges")
+    psf = np.median(np.stack(stamps), axis=0)
+    return psf / psf.sum()
+
+
+def psf_photometry(image: np.ndarray, x: np.ndarray, y: np.ndarray, psf: np.ndarray, noise: float = 1.0, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Columns x, y, flux, error of stars whose profiles may overlap, and the residual image.
+
+    All fluxes are one linear least-squares fit; between fits, positions move by the gradient of the profile. The sky must be
+    taken off before.
+    """
+    half = psf.shape[0] // 2
+    x, y = x.astype(float).copy(), y.astype(float).copy()
+    ny, nx = image.shape
+
+    def profile(cx: float, cy: float) -> tuple[slice, slice, np.ndarray]:
+        x0, y0 = int(round(cx)), int(round(cy))
+        stamp = _moved(np.pad(psf, 1), cy - y0, cx - x0)[1:-1, 1:-1]
+        ys, xs = slice(max(y0 - half, 0), min(y0 + half + 1, ny)), slice(max(x0 - half, 0), min(x0 + half + 1, nx))
+        return ys, xs, stamp[ys.start - y0 + half : ys.stop - y0 + half, xs.start - x0 + half : xs.stop - x0 + half]
+
+    for k in range(rounds):
+        fits = [profile(cx, cy) for cx, cy in zip(x, y, strict=True)]
+        n = len(fits)
+        normal, right = np.zeros((n, n)), np.zeros(n)
+        model = np.zeros((n, ny, nx)) if n * ny * nx < 2e7 else None
+        for i, (ys, xs, p) in enumerate(fits):
+            right[i] = (p * image[ys, xs]).sum()
+            if model is not None:
+                model[i, ys, xs] = p
+        for i, (ys, xs, p) in enumerate(fits):
+            for j in range(n):
+                if abs(x[i] - x[j]) <= 2 * half + 2 and abs(y[i] - y[j]) <= 2 * half + 2:
+                    other = model[j, ys, xs] if model is not None else _overlap(fits[j], ys, xs)
+                    normal[i, j] = (p * other).sum()
+        normal += 1e-12 * np.eye(n)
+        flux = np.linalg.solve(normal, right) if n else right
+        residual = image.astype(float).copy()
+        for f, (ys, xs, p) in zip(flux, fits, strict=True):
+            residual[ys, xs] -= f * p
+        if k == rounds - 1:
+            break
+        for i, (ys, xs, p) in enumerate(fits):
+            if flux[i] <= 0 or min(p.shape) < 3:
+                continue
+            gy, gx = np.gradient(p)
+            a = np.stack([-flux[i] * gx.ravel(), -flux[i] * gy.ravel()], axis=1)
+            step = np.linalg.lstsq(a, residual[ys, xs].ravel(), rcond=None)[0]
+            x[i], y[i] = x[i] + np.clip(step[0], -0.5, 0.5), y[i] + np.clip(step[1], -0.5, 0.5)
+    error = noise * np.sqrt(np.diag(np.linalg.inv(normal))) if n else np.zeros(0)
+    return np.stack([x, y, flux, error], axis=1), residual
+
+
+def _overlap(fit, ys: slice, xs: slice) -> np.ndarray:
+    """The profile of ``fit`` on another window."""
+    out = np.zeros((ys.stop - ys.start, xs.stop - xs.start))
+    fy, fx, p = fit
+    a, b, c, d = max(ys.start, fy.start), min(ys.stop, fy.stop), max(xs.start, fx.start), min(xs.stop, fx.stop)
+    if a < b and c < d:
+        out[a - ys.start : b - ys.start, c - xs.start : d - xs.start] = p[a - fy.start : b - fy.start, c - fx.start : d - fx.start]
+    return out
+
+
+def similarity_transform(reference: np.ndarray, points: np.ndarray, brightest: int = 20, tolerance: float = 2.0) -> np.ndarray | None:
+    """The 2 x 3 matrix of turn, scale and shift that takes ``points`` onto ``reference`` (columns x, y, brightness), or None.
+
+    Triangles of the brightest stars are matched by the ratios of their sides; the transform of the pair that brings most points
+    onto reference stars is refitted to all of these.
+    """
+    a, b = (p[np.argsort(-p[:, 2])][:brightest, :2] for p in (reference, points))
+    if len(a) < 3 or len(b) < 3:
+        return None
+
+    def triangles(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+        near = np.argsort(d, axis=1)[:, 1:6]
+        sets = sorted({tuple(sorted((i, j, k))) for i in range(len(p)) for j in near[i] for k in near[i] if len({i, j, k}) == 3})
+        corners, shapes = [], []
+        for i, j, k in sets:
+            sides = sorted(((d[j, k], i), (d[i, k], j), (d[i, j], k)))
+            if sides[2][0] > 0:
+                corners.append([s[1] for s in sides])
+                shapes.append((sides[0][0] / sides[2][0], sides[1][0] / sides[2][0]))
+        return np.array(corners).reshape(-1, 3), np.array(shapes).reshape(-1, 2)
+
+    def fit(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+        s, t = src[:, 0] + 1j * src[:, 1], dst[:, 0] + 1j * dst[:, 1]
+        ds, dt = s - s.mean(), t - t.mean()
+        w = (np.conj(ds) * dt).sum() / max((np.abs(ds) ** 2).sum(), 1e-12)
+        shift = t.mean() - w * s.mean()
+        return np.array([[w.real, -w.imag, shift.real], [w.imag, w.real, shift.imag]])
+
+    def inliers(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        moved = b @ m[:, :2].T + m[:, 2]
+        d = np.hypot(*(moved[:, None] - a[None]).transpose(2, 0, 1))
+        j = d.argmin(axis=1)
+        ok = d[np.arange(len(b)), j] <= tolerance
+        return np.flatnonzero(ok), j[ok]
+
+    (ca, sa), (cb, sb) = triangles(a), triangles(b)
+    best, most = None, 2
+    for corners, shape in zip(cb, sb, strict=True):
+        if not len(sa):
+            break
+        for k in np.argsort(((sa - shape) ** 2).sum(axis=1))[:3]:
+            m = fit(b[corners], a[ca[k]])
+            i, _ = inliers(m)
+            if len(i) > most:
+                best, most = m, len(i)
+    if best is None:
+        return None
+    for _ in range(3):
+        i, j = inliers(best)
+        best = fit(b[i], a[j])
+    return best

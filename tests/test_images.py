@@ -71,3 +71,24 @@ def test_fits_round_trip_and_sources(spark, tmp_path):
     assert {int(r.image_id): r.dy for r in shifts(df, scene(0)).collect()} == {0: 0, 1: -1, 2: -2}
     master = combine(df, ["f"], "median").first()
     assert (master.n, master.ny, len(master.pixels)) == (3, 64, 64 * 64)
+
+
+def test_psf_photometry_of_overlapping_stars():
+    pair = [(30.0, 30.0, 6000.0), (34.5, 31.0, 3000.0), (12.3, 50.4, 5000.0), (50.0, 12.6, 8000.0)]
+    image = scene(5, stars=pair) - 100
+    psf = K.empirical_psf(image, np.array([12.3, 50.0]), np.array([50.4, 12.6]), 7)
+    x, y, f = (np.array(v) for v in zip(*pair, strict=True))
+    got, residual = K.psf_photometry(image, x + 0.3, y - 0.2, psf, 2.0)
+    assert got[:, 2] == pytest.approx(f, rel=0.06)
+    assert np.hypot(got[:, 0] - x, got[:, 1] - y).max() < 0.25 and residual.std() < 0.2 * image.std()
+
+
+def test_similarity_transform():
+    rng = np.random.default_rng(3)
+    ref = np.c_[rng.uniform(0, 1000, (25, 2)), rng.uniform(1, 9, 25)]
+    turn, scale, shift = 0.4, 1.1, np.array([30.0, -12.0])
+    m = scale * np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]])
+    moved = np.c_[(ref[:, :2] - shift) @ np.linalg.inv(m).T + rng.normal(0, 0.2, (25, 2)), ref[:, 2]][3:]
+    got = K.similarity_transform(ref, np.r_[moved, [[5.0, 5.0, 8.0]]])
+    assert np.allclose(got, np.c_[m, shift], atol=1.0) and np.allclose(got[:, :2], m, atol=0.005)
+    assert K.similarity_transform(ref[:2], moved) is None
