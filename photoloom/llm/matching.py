@@ -36,7 +36,7 @@ from photoloom.session import cut
 #: Candidates lie within this distance (arc seconds): several times the scatter of a list plus the shift of a chart.
 RADIUS = 12.0
 #: Share of listed stars that have an object, price of a second star for an object, least marginal of a match.
-PRIOR, TWICE, MATCH = 0.6, 0.02, 0.5
+PRIOR, TWICE, MATCH = 0.6, 0.2, 0.5
 #: Spread of magnitudes of unrelated neighbours; share and spread of matches whose brightness is off (variables, blends).
 LOOSE, ODD, ODD_SPREAD = 2.0, 0.05, 0.5
 ROUNDS, STILL = 24, 1e-3
