@@ -79,6 +79,50 @@ def sdss_g(b: Column, v: Column) -> Column:
     return v + 0.63 * (b - v) - 0.124
 
 
+def sdss_u(u: Column, b: Column, v: Column) -> Column:
+    """u of the SDSS system from U, B and V (Jordi and others 2005; fixed values)."""
+    return sdss_g(b, v) + 0.75 * (u - b) + 0.77 * (b - v) + 0.72
+
+
+def sdss_i(r: Column, i: Column) -> Column:
+    """i of the SDSS system from R and I (Jordi and others 2005; fixed values)."""
+    return i + 0.247 * (r - i) + 0.236
+
+
+def sdss_z(v: Column, r: Column, i: Column) -> Column:
+    """z of the SDSS system from V, R and I (Jordi and others 2005; fixed values)."""
+    return sdss_r(v, r) - 1.584 * (r - i) + 0.386
+
+
+#: Extinction for each magnitude of E(B-V), by inverse micrometres, of the mean Galactic curve (Fitzpatrick 1999, R = 3.1; fixed values).
+GALACTIC_CURVE = [(0.0, 0.0), (0.377, 0.265), (0.820, 0.829), (1.667, 2.688), (1.828, 3.055), (2.141, 3.806), (2.433, 4.315), (3.704, 6.265), (3.846, 6.591)]
+#: Effective wavelengths in angstroms (fixed values).
+EFFECTIVE_WAVELENGTH = {"U": 3600.0, "B": 4380.0, "V": 5450.0, "R": 6410.0, "I": 7980.0}
+
+
+def extinction_at(wavelength: float, colour_excess: float) -> float:
+    """Extinction at a wavelength (angstroms): a natural cubic spline through the knots of the mean curve."""
+    x, y = zip(*GALACTIC_CURVE, strict=True)
+    n = len(x)
+    h = [b - a for a, b in zip(x, x[1:], strict=False)]
+    slope = [(y[k + 1] - y[k]) / h[k] for k in range(n - 1)]
+    # Second derivatives at the knots (a tridiagonal system, solved by elimination).
+    diag, right = [1.0] * n, [0.0] * n
+    upper = [0.0] * n
+    for k in range(1, n - 1):
+        w = h[k - 1] / diag[k - 1] if k > 1 else 0.0
+        diag[k] = 2 * (h[k - 1] + h[k]) - w * upper[k - 1]
+        upper[k] = h[k]
+        right[k] = 6 * (slope[k] - slope[k - 1]) - w * right[k - 1]
+    second = [0.0] * n
+    for k in range(n - 2, 0, -1):
+        second[k] = (right[k] - upper[k] * second[k + 1]) / diag[k]
+    at = 1e4 / wavelength
+    k = max(j for j in range(n - 1) if x[j] <= at)
+    a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
+    return colour_excess * (a * y[k] + b * y[k + 1] + ((a**3 - a) * second[k] + (b**3 - b) * second[k + 1]) * h[k] ** 2 / 6)
+
+
 def extinction_bv(colour_excess: float, ratio: float = 3.1) -> tuple[float, float]:
     """Extinction in V and B of a colour excess E(B-V)."""
     return ratio * colour_excess, (ratio + 1) * colour_excess

@@ -75,7 +75,7 @@ _CALIBRATORS = f"""WITH m AS (SELECT DISTINCT image_id, filter_name, object_id,
     k AS (SELECT DISTINCT auid, ra_deg, dec_deg, mag_v, mag_b FROM comp_stars),
     p AS (SELECT image_id, filter_name, object_id, mags_fit, auid, mag_v, mag_b FROM m JOIN k ON abs(dec - dec_deg) < 0.001 AND {sql_separation('ra', 'dec', 'ra_deg', 'dec_deg')} <= 2),
     p1 AS (SELECT *, count(*) OVER (PARTITION BY image_id, object_id) AS n FROM p), p2 AS (SELECT *, count(*) OVER (PARTITION BY image_id, auid) AS n2 FROM p1 WHERE n = 1),
-    z AS (SELECT image_id, auid, object_id, CASE filter_name WHEN 'V' THEN mag_v WHEN 'B' THEN mag_b END - mags_fit AS v FROM p2 WHERE n2 = 1)"""
+    z AS (SELECT image_id, filter_name, auid, object_id, mag_b - mag_v AS colour, CASE filter_name WHEN 'V' THEN mag_v WHEN 'B' THEN mag_b END - mags_fit AS v FROM p2 WHERE n2 = 1)"""
 
 
 def zero_points(t: Tables):
@@ -87,7 +87,7 @@ def zero_points(t: Tables):
     pairs = sky_pairs(rows, t.comp_stars.select("auid", "ra_deg", "dec_deg", "mag_v", "mag_b").distinct(), 2)
     d = unambiguous(pairs.select("l.image_id", "l.filter_name", "l.object_id", "l.mags_fit", "r.auid", "r.mag_v", "r.mag_b"), ["image_id", "object_id"], ["image_id", "auid"])
     literature = F.when(c("filter_name") == "V", c("mag_v")).when(c("filter_name") == "B", c("mag_b"))
-    return d.select("image_id", "auid", "object_id", (literature - c("mags_fit")).alias("v"))
+    return d.select("image_id", "filter_name", "auid", "object_id", (c("mag_b") - c("mag_v")).alias("colour"), (literature - c("mags_fit")).alias("v"))
 
 
 @query("zp", f"{_CALIBRATORS} SELECT image_id, auid, object_id, round(v, 6) AS zp FROM z WHERE v IS NOT NULL")
@@ -113,6 +113,21 @@ def zp_statistic(t):
     return z.agg(F.count("*").alias("n"), r(F.percentile("v", 0.5)).alias("median"), r(F.avg("v"), 9).alias("mean"), r(F.stddev_pop("v"), 7).alias("std"), r(F.min("v")).alias("least"), r(F.max("v")).alias("most"))
 
 
+@query("transform_derive", f"{_CALIBRATORS} SELECT image_id, filter_name, count(*) AS n, round(regr_slope(v, colour), 4) AS term, round(regr_intercept(v, colour), 4) AS zero FROM z WHERE v IS NOT NULL AND colour IS NOT NULL GROUP BY ALL HAVING count(*) >= 5")
+def transform_derive(t):
+    """Colour term and zero point of each image: the fit of literature less instrument magnitude against literature colour."""
+    z = zero_points(t).where("v IS NOT NULL AND colour IS NOT NULL").groupBy("image_id", "filter_name")
+    return z.agg(F.count("*").alias("n"), r(F.regr_slope("v", "colour"), 4).alias("term"), r(F.regr_intercept("v", "colour"), 4).alias("zero")).where("n >= 5")
+
+
+@query("protected_objects", f"""WITH d AS (SELECT DISTINCT image_id, object_id, filter_name FROM photometry), n AS (SELECT filter_name, count(DISTINCT image_id) AS n FROM d GROUP BY 1),
+    k AS (SELECT filter_name, object_id, count(*) AS k FROM d GROUP BY ALL) SELECT filter_name, object_id, k AS n_images FROM k WHERE k >= 60 OR object_id % 97 = 0""")
+def protected_objects(t):
+    """Objects seen often enough, and protected ones however often they are seen."""
+    k = t.photometry.select("image_id", "object_id", "filter_name").distinct().groupBy("filter_name", "object_id").agg(F.count("*").alias("n_images"))
+    return k.where((c("n_images") >= 60) | (c("object_id") % 97 == 0))
+
+
 @query("quasi_flux", f"WITH {sql_clip('SELECT image_id, flux_fit AS v FROM photometry WHERE flux_fit <> 0', 'image_id', 1.5)}, g AS (SELECT image_id, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(flux_fit / m, 9) AS flux FROM photometry JOIN g USING (image_id) WHERE m <> 0")
 def quasi_flux(t):
     g = sigma_clip_stats(t.photometry.where("flux_fit <> 0"), ["image_id"], "flux_fit", 1.5).where("median <> 0").select("image_id", "median")

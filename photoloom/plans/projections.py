@@ -219,3 +219,27 @@ def separations(t):
 @query("nested_bands", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def nested_bands(t):
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k")).where("k IS NOT NULL")
+
+
+_R1 = "CASE WHEN mag_v - mag_r <= 0.93 THEN mag_r + 0.267 * (mag_v - mag_r) + 0.088 ELSE mag_r + 0.77 * (mag_v - mag_r) - 0.37 END"
+
+
+@query("magnitude_system_uiz", f"SELECT cal_id, round(mag_v + 0.63 * (mag_b - mag_v) - 0.124 + 0.75 * (mag_u - mag_b) + 0.77 * (mag_b - mag_v) + 0.72, 7) AS u_prime, round(mag_i + 0.247 * (mag_r - mag_i) + 0.236, 7) AS i_prime, round({_R1} - 1.584 * (mag_r - mag_i) + 0.386, 7) AS z_prime FROM calib")
+def magnitude_system_uiz(t):
+    return t.calib.select("cal_id", r(P.sdss_u(c("mag_u"), c("mag_b"), c("mag_v")), 7).alias("u_prime"), r(P.sdss_i(c("mag_r"), c("mag_i")), 7).alias("i_prime"), r(P.sdss_z(c("mag_v"), c("mag_r"), c("mag_i")), 7).alias("z_prime"))
+
+
+_EXTINCTION = [(b, round(P.extinction_at(w, 0.12), 6)) for b, w in P.EFFECTIVE_WAVELENGTH.items()]
+
+
+@query("extinction_curve", "SELECT cal_id, " + ", ".join(f"round(mag_{b.lower()} - {a!r}, 6) AS {b.lower()}_0" for b, a in _EXTINCTION) + " FROM calib")
+def extinction_curve(t):
+    """Magnitudes without interstellar extinction, by the mean Galactic curve at each band's wavelength."""
+    return t.calib.select("cal_id", *(r(c(f"mag_{b.lower()}") - a).alias(f"{b.lower()}_0") for b, a in _EXTINCTION))
+
+
+@query("isochrone_magnitudes", f"WITH i AS (SELECT x AS k, y AS b_v FROM {sql_values([(float(k), 0.05 * k) for k in range(20)], 'x, y')}) SELECT k, round(5.0 + 1.5 * b_v, 6) AS v, round(5.0 + 1.5 * b_v + b_v, 6) AS b, round(5.0 + 1.5 * b_v - 0.55 * b_v, 6) AS r FROM i")
+def isochrone_magnitudes(t):
+    """Magnitudes of a model from one magnitude and colours, each from the one before: B = V + (B-V), R = V - (V-R)."""
+    d = t.values([(float(k), 0.05 * k) for k in range(20)], "k double, b_v double").withColumn("_v", 5.0 + 1.5 * c("b_v"))
+    return d.select("k", r("_v").alias("v"), r(c("_v") + c("b_v")).alias("b"), r(c("_v") - 0.55 * c("b_v")).alias("r"))
