@@ -88,7 +88,15 @@ def anti_target(t):
     return t.comp_stars.join(near, ["auid", "ra_deg", "dec_deg"], "left_anti").select("auid", "chart")
 
 
-@query("fov_filter", None)
+_TOWARDS = "(sin(radians(crval2)) * sin(radians(dec_deg)) + cos(radians(crval2)) * cos(radians(dec_deg)) * cos(radians(ra_deg - crval1)))"
+_XI = f"degrees(cos(radians(dec_deg)) * sin(radians(ra_deg - crval1)) / {_TOWARDS})"
+_ETA = f"degrees((cos(radians(crval2)) * sin(radians(dec_deg)) - sin(radians(crval2)) * cos(radians(dec_deg)) * cos(radians(ra_deg - crval1))) / {_TOWARDS})"
+_DET = "(cd11 * cd22 - cd12 * cd21)"
+
+
+@query("fov_filter", f"""WITH w AS (SELECT * FROM {WCS} JOIN (SELECT image_id, min(naxis1) AS nx, min(naxis2) AS ny FROM frames GROUP BY image_id) USING (image_id)),
+    p AS (SELECT image_id, auid, nx, ny, (cd22 * {_XI} - cd12 * {_ETA}) / {_DET} + crpix1 - 1 AS x, (cd11 * {_ETA} - cd21 * {_XI}) / {_DET} + crpix2 - 1 AS y FROM w JOIN {_STARS} k ON {sql_separation('crval1', 'crval2', 'ra_deg', 'dec_deg')} <= 1800)
+    SELECT image_id, auid, round(x, 3) AS x, round(y, 3) AS y FROM p WHERE x >= 0 AND x <= nx - 1 AND y >= 0 AND y <= ny - 1""")
 def fov_filter(t):
     """Listed stars that fall into each solved image: a sky join around the images' centres, then the pixel bounds."""
     size = t.frames.groupBy("image_id").agg(F.min("naxis1").alias("nx"), F.min("naxis2").alias("ny"))
@@ -186,7 +194,7 @@ def kdtree_1nn(t):
     return d.select("cal_id", F.array_min(F.array(*dist))["k"].alias("k"))
 
 
-@query("region_best_star", None)
+@query("region_best_star", f"SELECT name, auid, mag_v FROM (SELECT name, auid, mag_v, row_number() OVER (PARTITION BY name ORDER BY mag_v, auid) AS k FROM targets g JOIN (SELECT DISTINCT auid, ra_deg, dec_deg, mag_v FROM comp_stars WHERE mag_v IS NOT NULL) s ON {sql_separation('g.ra_deg', 'g.dec_deg', 's.ra_deg', 's.dec_deg')} <= 900) WHERE k = 1")
 def region_best_star(t):
     """For each target the brightest listed star within a quarter of a degree (the other rule of the target look-up)."""
     p = sky_pairs(t.comp_stars.select("auid", "ra_deg", "dec_deg", "mag_v").where("mag_v IS NOT NULL").distinct(), t.targets.select("name", "ra_deg", "dec_deg"), 900)
