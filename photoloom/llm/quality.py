@@ -85,9 +85,9 @@ def text_statistics(documents: DataFrame, common: list[str], *, text: str = "tex
         "listed_share": share(_LISTED),
         "gapped_share": share(_GAPPED),
         "single_share": words(r"(?<!\S)\S(?!\S)"),
-        "numeric_share": words(r"[^\s\d]*\d\S*"),
-        "capital_share": words(r"(?<!\S)[^\p{L}\s]*\p{Lu}"),
-        "plain_share": words(r"(?<!\S)[(\[\"'„“«–—-]*[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*[.,;:!?)\]\"'”“»…–—-]*(?!\S)"),
+        "numeric_share": words(r"(?<!\S)[^\s\d]*+\d"),
+        "capital_share": words(r"(?<!\S)[^\p{L}\s]*+\p{Lu}"),
+        "plain_share": words(r"(?<!\S)[(\[\"'„“«–—-]*+[\p{L}\p{M}]++(?:['’-][\p{L}\p{M}]++)*+[.,;:!?)\]\"'”“»…–—-]*+(?!\S)"),
         "broken_share": words(r"[\p{L}\p{N}][<>{}|\\^~$&#%*@=+!?;,\[\]/()\"_]+(?=[\p{L}])|[<>{}|\\^~$&#%*@=+]"),
         "vowel_ratio": F.length(F.regexp_replace("_lower", r"[^aeiouyäöüàâéèêëîïôùûœøåæ]+", "")) / F.greatest(F.col("_letters"), F.lit(1)),
         "longest_word": F.array_max(F.transform("_w", lambda w: F.length(w))),
