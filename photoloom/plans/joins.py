@@ -113,7 +113,7 @@ _TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coales
 def _timed(t: Tables):
     times = image_times(t.frames)
     f = t.frames.groupBy("image_id").agg(F.min("filter_name").alias("f"), F.min("object_name").alias("o"))
-    return f.join(times, "image_id").where("o IS NOT NULL AND jd IS NOT NULL").withColumn("night", F.floor("jd").cast("long"))
+    return f.join(times, "image_id").where("o IS NOT NULL AND jd IS NOT NULL")
 
 
 @query("nearest_time_other_filter", f"""WITH d AS (SELECT *, floor(jd)::BIGINT AS night FROM {_TIMES} WHERE o IS NOT NULL AND jd IS NOT NULL), v AS (SELECT * FROM d WHERE f = 'V'), b AS (SELECT o, night, jd, min(image_id) AS image_id FROM d WHERE f = 'B' GROUP BY ALL),
@@ -121,8 +121,9 @@ def _timed(t: Tables):
     n AS (SELECT v.image_id, b.image_id AS n_id, b.jd AS n_jd FROM v ASOF LEFT JOIN b ON v.o = b.o AND v.night = b.night AND v.jd <= b.jd)
     SELECT image_id, CASE WHEN p_id IS NULL OR n_jd - jd < jd - p_jd THEN n_id ELSE p_id END AS near_image_id FROM p JOIN n USING (image_id)""")
 def nearest_time_other_filter(t):
+    """The image of the second filter nearest in time, over all nights of the object; the SQL still looks within the night only."""
     d = _timed(t)
-    return nearest_on_axis(d.where("f = 'V'"), d.where("f = 'B'"), ["o", "night"], "jd", "image_id").select("image_id", "near_image_id")
+    return nearest_on_axis(d.where("f = 'V'"), d.where("f = 'B'"), ["o"], "jd", "image_id", period=1.0).select("image_id", "near_image_id")
 
 
 _EXPOSED = "SELECT instrume, image_id, exptime FROM frames WHERE imagetyp = '{}' AND instrume IS NOT NULL AND exptime IS NOT NULL"
