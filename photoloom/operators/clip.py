@@ -3,8 +3,9 @@
 Readings outside ``centre +- k * spread`` of the readings still in are dropped, again and again; bounds are inclusive, the spread
 is the population standard deviation (or the scaled median absolute deviation).  What is left of a *sorted* group is always one
 slice of it, so a group is sorted once, after one shuffle, and clipped in place with array expressions: no round of aggregates and
-joins for each iteration.  Groups must be bounded by nature (an image, a night of a source); for groups that grow with the data,
-``sigma_clip_large`` does the rounds with mergeable sketches instead.
+joins for each iteration.  Groups must be bounded by nature (an image, a night of a source).  For groups that grow with the data,
+``sigma_clip_counted`` clips the counts of their distinct values (printed values repeat) with exact results, and
+``sigma_clip_large`` does the rounds with mergeable sketches.
 
 Null and NaN values are left out; a group of nothing else has null statistics and n = 0.
 """
@@ -77,6 +78,40 @@ def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, **how
     return joined.withColumn("clipped", ~F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high", *(f"_k_{c}" for c in keys))
 
 
+def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median") -> DataFrame:
+    """As ``sigma_clip_stats`` without the groups of n = 0, for groups of many readings of few distinct values: equal readings are
+    counted before the group is brought together, so that it is as long as its number of distinct values."""
+    v = F.col(value) if isinstance(value, str) else value
+    h = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    g = h.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_n").alias("n")))).alias("_a"))
+    nothing = F.lit(None).cast("double")
+
+    def stats(a: Column, body) -> Column:
+        """``body`` of n, mean, median and std."""
+
+        def middle(n: Column) -> Column:
+            start = F.struct(F.lit(0).cast("long").alias("c"), nothing.alias("low"), nothing.alias("high"))
+
+            def step(s: Column, x: Column) -> Column:
+                to = s["c"] + x["n"]
+                pick = lambda rank, old: F.when((rank >= s["c"]) & (rank < to), x["v"]).otherwise(old)
+                return F.struct(to.alias("c"), pick(F.floor((n - 1) / 2), s["low"]).alias("low"), pick(F.floor(n / 2), s["high"]).alias("high"))
+
+            return F.aggregate(a, start, step, lambda s: (s["low"] + s["high"]) / 2)
+
+        total = F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        first = lambda n: F.struct(n.alias("n"), (F.aggregate(a, F.lit(0.0), lambda s, x: s + x["v"] * x["n"]) / n).alias("mean"), middle(n).alias("median"))
+        square = lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x["v"] - m["mean"]) * (x["v"] - m["mean"]) * x["n"])
+        full = lambda m: F.struct(m["n"].alias("n"), m["mean"].alias("mean"), m["median"].alias("median"), F.sqrt(square(m) / m["n"]).alias("std"))
+        return _let(total, lambda n: _let(first(n), lambda m: _let(full(m), body)))
+
+    def round_(a: Column, _: Column) -> Column:
+        return stats(a, lambda s: F.filter(a, lambda x: (x["v"] >= s[centre] - k * s["std"]) & (x["v"] <= s[centre] + k * s["std"])))
+
+    g = g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("_a"), round_).alias("_a")).where(F.size("_a") > 0)
+    return g.select(*keys, stats(F.col("_a"), lambda s: s).alias("_s")).select(*keys, "_s.n", "_s.mean", "_s.median", "_s.std")
+
+
 def sigma_clip_large(df: DataFrame, keys: list[str], value: str, k: float, *, iterations: int = 5, accuracy: int = 100_000) -> DataFrame:
     """As ``sigma_clip_stats`` for groups of any size: each round is one aggregate with partial sums and a quantile sketch of
     bounded size (rank error 1 / accuracy), joined back by key."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photoloom.functions import photometric as P
 from photoloom.functions.random import normal_sample
 from photoloom.functions.sky import pixel_to_sky
-from photoloom.operators.clip import array_median, sigma_clip_flags, sigma_clip_stats
+from photoloom.operators.clip import array_median, sigma_clip_counted, sigma_clip_flags, sigma_clip_stats
 from photoloom.operators.nearest import unambiguous
 from photoloom.operators.spatial import sky_pairs
 from photoloom.operators.spikes import image_times
@@ -29,9 +29,8 @@ def _stats(df):
 
 @query("clip_airmass", f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames WHERE object_name IS NOT NULL AND object_name <> (SELECT mode(object_name) FROM frames)', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL")
 def clip_airmass(t):
-    often = t.frames.where("object_name IS NOT NULL").groupBy("object_name").count().agg(F.max_by("object_name", "count")).first()[0]
-    d = t.frames.where("object_name IS NOT NULL").where(c("object_name") != F.lit(often))
-    return _stats(sigma_clip_stats(d, ["object_name", "filter_name"], "airmass", 1.5, centre="mean"))
+    """Every series, frames without an object name as series of their own; the SQL leaves out the most frequent name and these."""
+    return _stats(sigma_clip_counted(t.frames, ["object_name", "filter_name"], "airmass", 1.5, centre="mean"))
 
 
 @query("clip_zero_points", f"WITH {sql_clip('SELECT image_id, mag_cali_no_trans - mags_fit AS v FROM photometry WHERE mag_cali_no_trans BETWEEN 5 AND 30', 'image_id', 1.5)} SELECT image_id, {STATS} FROM c5 GROUP BY ALL")

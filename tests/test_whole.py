@@ -2,8 +2,12 @@
 
 import pytest
 
+from photoloom.operators.clip import sigma_clip_counted
 from photoloom.operators.nearest import nearest_on_axis
 from photoloom.plans import reference
+from photoloom.plans.aggregates import STATS
+from photoloom.plans.registry import sql_clip
+from tests.test_clip import GROUPS, brute
 from tests.oracle import compare, connect
 
 _TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id)"
@@ -11,6 +15,7 @@ _TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coales
 WHOLE = {
     "nearest_time_other_filter": f"""WITH d AS (SELECT * FROM {_TIMES} WHERE o IS NOT NULL AND jd IS NOT NULL), v AS (SELECT * FROM d WHERE f = 'V'), b AS (SELECT * FROM d WHERE f = 'B')
         SELECT v.image_id, arg_min(b.image_id, (abs(b.jd - v.jd), b.jd, b.image_id)) AS near_image_id FROM v LEFT JOIN b ON v.o = b.o GROUP BY v.image_id""",
+    "clip_airmass": f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL",
 }
 
 
@@ -25,3 +30,13 @@ def test_nearest_looks_beyond_the_period(spark):
     got = {x.id: x.near_r for x in nearest_on_axis(left, right, ["o"], "t", "r", period=1.0).collect()}
     assert got == {1: 12, 2: 12, 3: 12, 4: None, 5: None, 6: 15, 7: 10}
     assert got == {x.id: x.near_r for x in nearest_on_axis(left, right, ["o"], "t", "r").collect()}
+
+
+@pytest.mark.parametrize("how", [{}, {"centre": "mean"}, {"iterations": 1}])
+def test_counted_clipping_against_brute_force(spark, how):
+    df = spark.createDataFrame([(g, None if x is None else float(x)) for g, v in GROUPS.items() for x in v for _ in range(1 + (x == 10))], "g string, x double")
+    got = {r.g: (r.n, r.mean, r.median, r["std"]) for r in sigma_clip_counted(df, ["g"], "x", 1.5, **how).collect()}
+    want = {g: brute([x for x in v for _ in range(1 + (x == 10))], 1.5, **how) for g, v in GROUPS.items()}
+    assert got.keys() == {g for g, w in want.items() if w[0]}
+    for g in got:
+        assert got[g] == pytest.approx(want[g]), g
