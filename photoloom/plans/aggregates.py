@@ -58,7 +58,9 @@ def clip_mag_object(t):
 
 @query("clip_temperature", f"WITH f AS (SELECT DISTINCT image_id, instrume, floor(jd)::BIGINT AS night, ccd_temp FROM frames WHERE jd IS NOT NULL AND ccd_temp IS NOT NULL AND instrume = 'Orrery Ultra 57'), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0, 3)}, b AS (SELECT instrume, night, m - 2.0 * s AS low, m + 2.0 * s AS high FROM b2) SELECT image_id, NOT ccd_temp BETWEEN low AND high AS clipped FROM f JOIN b USING (instrume, night)")
 def clip_temperature(t):
-    f = t.frames.where("jd IS NOT NULL AND ccd_temp IS NOT NULL AND instrume = 'Orrery Ultra 57'").select("image_id", "instrume", F.floor("jd").cast("long").alias("night"), "ccd_temp").distinct()
+    """Frames of every instrument and night, a missing jd taken from date_obs; the SQL has one instrument and frames with jd only."""
+    f = t.frames.where("ccd_temp IS NOT NULL").select("image_id", "instrume", "ccd_temp").distinct().join(image_times(t.frames), "image_id")
+    f = f.select("image_id", "instrume", F.floor("jd").cast("long").alias("night"), "ccd_temp")
     return sigma_clip_flags(f, ["instrume", "night"], "ccd_temp", 2.0, iterations=3).select("image_id", "clipped")
 
 

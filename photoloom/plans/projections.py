@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from photoloom.functions import photometric as P
 from photoloom.functions.sky import pixel_to_sky, sky_to_pixel
 from photoloom.operators.spatial import separation_arcsec
+from photoloom.operators.spikes import image_times
 from photoloom.plans.registry import Registry, Tables, r, sql_values
 
 query = Registry()
@@ -206,7 +207,8 @@ def spline_lookup(t):
 
 @query("fold_phase", "SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase FROM (SELECT DISTINCT image_id, object_name, jd FROM frames WHERE jd IS NOT NULL) f JOIN targets ON object_name = name WHERE period_d > 0 AND t0_jd IS NOT NULL")
 def fold_phase(t):
-    f = t.frames.where("jd IS NOT NULL").select("image_id", "object_name", "jd").distinct()
+    """Phase of every frame of a periodic target, a missing jd taken from date_obs; the SQL has frames with jd only."""
+    f = t.frames.select("image_id", "object_name").distinct().join(image_times(t.frames), "image_id").where("jd IS NOT NULL")
     g = t.targets.where("period_d > 0 AND t0_jd IS NOT NULL")
     return f.join(g, c("object_name") == c("name")).select("image_id", "name", r(P.phase(c("jd"), c("t0_jd"), c("period_d")), 5).alias("phase"))
 

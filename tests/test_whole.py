@@ -18,6 +18,12 @@ WHOLE = {
     "clip_airmass": f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL",
 }
 
+_TEMPERATURES = f"SELECT DISTINCT image_id, instrume, floor(i.jd)::BIGINT AS night, ccd_temp FROM frames JOIN {_TIMES} i USING (image_id) WHERE ccd_temp IS NOT NULL"
+WHOLE["clip_temperature"] = f"""WITH f AS ({_TEMPERATURES}), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0, 3)}
+    SELECT image_id, NOT ccd_temp BETWEEN m - 2.0 * s AND m + 2.0 * s AS clipped FROM f JOIN b2 ON f.instrume IS NOT DISTINCT FROM b2.instrume AND f.night IS NOT DISTINCT FROM b2.night"""
+WHOLE["fold_phase"] = f"""SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase
+    FROM {_TIMES} JOIN targets ON o = name WHERE period_d > 0 AND t0_jd IS NOT NULL AND jd IS NOT NULL"""
+
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_job(spark, sf, name):
