@@ -46,14 +46,10 @@ def clip_flux_image(t):
 _NIGHTLY = "SELECT object_id, filter_name, floor(jd)::BIGINT AS night, mag_cali_trans AS v FROM photometry JOIN (SELECT image_id, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id) USING (image_id) WHERE mag_cali_trans IS NOT NULL"
 
 
-def nightly(t: Tables, *columns: str):
-    d = t.photometry.select("image_id", "object_id", "filter_name", *columns)
-    return d.join(image_times(t.frames), "image_id").withColumn("night", F.floor("jd").cast("long"))
-
-
 @query("clip_mag_object", f"WITH {sql_clip(_NIGHTLY, 'object_id, filter_name, night', 1.5)} SELECT object_id, filter_name, night, {STATS} FROM c5 GROUP BY ALL")
 def clip_mag_object(t):
-    return _stats(sigma_clip_stats(nightly(t, "mag_cali_trans"), ["object_id", "filter_name", "night"], "mag_cali_trans", 1.5))
+    """Each object and filter over all frames; the SQL clips night by night."""
+    return _stats(sigma_clip_counted(t.photometry, ["object_id", "filter_name"], "mag_cali_trans", 1.5))
 
 
 @query("clip_temperature", f"WITH f AS (SELECT DISTINCT image_id, instrume, floor(jd)::BIGINT AS night, ccd_temp FROM frames WHERE jd IS NOT NULL AND ccd_temp IS NOT NULL AND instrume = 'Orrery Ultra 57'), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0, 3)}, b AS (SELECT instrume, night, m - 2.0 * s AS low, m + 2.0 * s AS high FROM b2) SELECT image_id, NOT ccd_temp BETWEEN low AND high AS clipped FROM f JOIN b USING (instrume, night)")
@@ -140,9 +136,12 @@ _FLUX_NIGHT = _NIGHTLY.replace("mag_cali_trans AS v", "image_id, flux_fit AS v")
 
 @query("flux_normalization", f"WITH d AS ({_FLUX_NIGHT}), {sql_clip('SELECT object_id, filter_name, night, v FROM d', 'object_id, filter_name, night', 1.5)}, g AS (SELECT object_id, filter_name, night, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(v / m, 9) AS flux FROM d JOIN g USING (object_id, filter_name, night) WHERE m <> 0")
 def flux_normalization(t):
-    d = nightly(t, "flux_fit").where("flux_fit <> 0")
-    g = sigma_clip_stats(d, ["object_id", "filter_name", "night"], "flux_fit", 1.5).where("median <> 0").drop("n", "mean", "std")
-    return d.join(g, ["object_id", "filter_name", "night"]).select("image_id", "object_id", r(c("flux_fit") / c("median"), 9).alias("flux"))
+    """Fluxes over the clipped median of their object and filter in all frames; the SQL takes the median of the night."""
+    d = t.photometry.where("flux_fit <> 0").select("image_id", "object_id", "filter_name", "flux_fit")
+    g = sigma_clip_counted(d, ["object_id", "filter_name"], "flux_fit", 1.5).where("median <> 0")
+    g = g.select(c("object_id").alias("_o"), c("filter_name").alias("_f"), "median")
+    same = c("object_id").eqNullSafe(c("_o")) & c("filter_name").eqNullSafe(c("_f"))
+    return d.join(g, same).select("image_id", "object_id", r(c("flux_fit") / c("median"), 9).alias("flux"))
 
 
 @query("image_statistics", "SELECT image_id, count(flux_fit) AS n, round(avg(flux_fit), 4) AS mean, round(quantile_cont(flux_fit, 0.5), 4) AS median, round(quantile_cont(flux_fit, 0.99), 4) AS p99, round(stddev_pop(flux_fit), 4) AS std, min(flux_fit) AS least, max(flux_fit) AS most FROM photometry GROUP BY image_id")

@@ -24,6 +24,11 @@ WHOLE["clip_temperature"] = f"""WITH f AS ({_TEMPERATURES}), {sql_clip('SELECT i
 WHOLE["fold_phase"] = f"""SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase
     FROM {_TIMES} JOIN targets ON o = name WHERE period_d > 0 AND t0_jd IS NOT NULL AND jd IS NOT NULL"""
 
+_SERIES = "object_id, filter_name"
+WHOLE["clip_mag_object"] = f"WITH {sql_clip(f'SELECT {_SERIES}, mag_cali_trans AS v FROM photometry', _SERIES, 1.5)} SELECT {_SERIES}, {STATS} FROM c5 GROUP BY ALL"
+WHOLE["flux_normalization"] = f"""WITH {sql_clip(f'SELECT {_SERIES}, flux_fit AS v FROM photometry WHERE flux_fit <> 0', _SERIES, 1.5)}, g AS (SELECT {_SERIES}, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL)
+    SELECT image_id, p.object_id, round(flux_fit / m, 9) AS flux FROM photometry p JOIN g ON p.object_id IS NOT DISTINCT FROM g.object_id AND p.filter_name IS NOT DISTINCT FROM g.filter_name WHERE flux_fit <> 0 AND m <> 0"""
+
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_job(spark, sf, name):
