@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from photoloom.functions import photometric as P
 from photoloom.functions.random import normal_sample
 from photoloom.functions.sky import pixel_to_sky
-from photoloom.operators.clip import array_median, sigma_clip_counted, sigma_clip_flags, sigma_clip_stats
+from photoloom.operators.clip import array_mean, array_median, array_std, sigma_clip_counted, sigma_clip_flags, sigma_clip_stats
 from photoloom.operators.nearest import unambiguous
 from photoloom.operators.spatial import sky_pairs
 from photoloom.operators.spikes import image_times
@@ -259,21 +259,21 @@ def transform_air_mass(t):
     m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
     SELECT catalog_code, round(quantile_cont(m, 0.5), 6) AS median, round(stddev_pop(m), 6) AS std FROM m GROUP BY catalog_code""")
 def bootstrap_zp(t):
-    """Median and spread of the medians of 100 draws of 60 per cent with replacement. Draws are arithmetic on row numbers, so they
+    """Median and spread of the medians of 1000 draws of 60 per cent with replacement; the SQL makes 100. Draws are arithmetic on row numbers, so they
     do not depend on the layout; a group's draws are made from its sorted array, not by a join."""
     z = t.calib.where("mag_v IS NOT NULL").select("cal_id", "catalog_code", "mag_v").distinct()
     g = z.groupBy("catalog_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("cal_id", "mag_v"))), lambda s: s["mag_v"]).alias("a")).where(F.size("a") > 20)
-    d = g.select("catalog_code", "a", F.size("a").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
+    d = g.select("catalog_code", "a", F.size("a").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("rep"))
     draw = F.transform(F.sequence(F.lit(0), F.floor(0.6 * c("n")).cast("int") - 1), lambda j: F.get("a", ((c("rep").cast("long") * 7919 + j.cast("long") * 104729 + c("rep") * j.cast("long") * 31) % c("n")).cast("int")))
-    m = d.select("catalog_code", array_median(F.array_sort(draw)).alias("m"))
+    m = d.select("catalog_code", F.array_sort(draw).alias("a")).select("catalog_code", array_median(c("a")).alias("m"))
     return m.groupBy("catalog_code").agg(r(F.percentile("m", 0.5)).alias("median"), r(F.stddev_pop("m")).alias("std"))
 
 
 @query("mc_samples", None)
 def mc_samples(t):
-    """Monte Carlo summary of each comparison star's V magnitude: median and spread of 200 normal samples, reproducible under any
+    """Monte Carlo summary of each comparison star's V magnitude: median and spread of 1000 normal samples, reproducible under any
     partitioning (samples are hashes of the key and the sample's number)."""
     d = t.comp_stars.where("mag_v IS NOT NULL").select("auid", "mag_v", F.coalesce("err_v", F.lit(0.03)).alias("s")).distinct()
-    d = d.select("auid", "mag_v", "s", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"))
-    x = d.withColumn("x", c("mag_v") + c("s") * normal_sample(7, c("auid"), c("k")))
-    return x.groupBy("auid", "mag_v", "s").agg(r(F.percentile("x", 0.5)).alias("median"), r(F.stddev_pop("x")).alias("std")).drop("mag_v", "s")
+    x = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: c("mag_v") + c("s") * normal_sample(7, c("auid"), k))
+    x = d.select("auid", F.array_sort(x).alias("x")).select("auid", "x", array_mean(c("x")).alias("mean"))
+    return x.select("auid", r(array_median(c("x"))).alias("median"), r(array_std(c("x"), c("mean"))).alias("std"))

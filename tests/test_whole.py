@@ -29,6 +29,11 @@ WHOLE["clip_mag_object"] = f"WITH {sql_clip(f'SELECT {_SERIES}, mag_cali_trans A
 WHOLE["flux_normalization"] = f"""WITH {sql_clip(f'SELECT {_SERIES}, flux_fit AS v FROM photometry WHERE flux_fit <> 0', _SERIES, 1.5)}, g AS (SELECT {_SERIES}, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL)
     SELECT image_id, p.object_id, round(flux_fit / m, 9) AS flux FROM photometry p JOIN g ON p.object_id IS NOT DISTINCT FROM g.object_id AND p.filter_name IS NOT DISTINCT FROM g.filter_name WHERE flux_fit <> 0 AND m <> 0"""
 
+WHOLE["bootstrap_zp"] = """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),
+    n AS (SELECT catalog_code, count(*) AS n FROM z GROUP BY 1), j AS (SELECT catalog_code, n, unnest(range(CAST(floor(0.6 * n) AS BIGINT))) AS j FROM n WHERE n > 20),
+    d AS (SELECT catalog_code, rep, ((rep * 7919 + j * 104729 + rep * j * 31) % n) AS k FROM j, range(1000) a(rep)), m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
+    SELECT catalog_code, round(quantile_cont(m, 0.5), 6) AS median, round(stddev_pop(m), 6) AS std FROM m GROUP BY catalog_code"""
+
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_job(spark, sf, name):
@@ -51,3 +56,15 @@ def test_counted_clipping_against_brute_force(spark, how):
     assert got.keys() == {g for g, w in want.items() if w[0]}
     for g in got:
         assert got[g] == pytest.approx(want[g]), g
+
+
+def test_mc_samples_has_a_thousand(spark, sf):
+    from pyspark.sql import functions as F
+
+    from photoloom.functions.random import normal_sample
+
+    d = spark.read.parquet(f"{sf}/comp_stars.parquet").where("mag_v IS NOT NULL").select("auid", "mag_v", F.coalesce("err_v", F.lit(0.03)).alias("s")).distinct()
+    x = d.select("*", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k")).withColumn("x", F.col("mag_v") + F.col("s") * normal_sample(7, F.col("auid"), F.col("k")))
+    want = sorted(tuple(w) for w in x.groupBy("auid", "mag_v", "s").agg(F.percentile("x", 0.5), F.stddev_pop("x")).drop("mag_v", "s").collect())
+    got = sorted(tuple(g) for g in reference.QUERIES["mc_samples"](spark, sf).collect())
+    assert len(got) == len(want) and all(g[0] == w[0] and g[1:] == pytest.approx(w[1:], abs=2e-6) for g, w in zip(got, want, strict=True))
