@@ -39,9 +39,9 @@ def _let(value: Column, body) -> Column:
 
 
 def clip_groups(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median", spread: str = "std") -> DataFrame:
-    """``keys``, kept (the sorted readings that are left), low and high (the last bounds)."""
+    """``keys``, kept (the sorted readings that are left), low and high (the last bounds), std_before (of all readings)."""
     v = F.col(value) if isinstance(value, str) else value
-    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(~F.isnan("_v"), F.col("_v")))).alias("_a"))
+    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(~F.isnan("_v"), F.col("_v")))).alias("_a"))
     nothing = F.lit(None).cast("double")
 
     def round_(state: Column, _: Column) -> Column:
@@ -51,7 +51,7 @@ def clip_groups(df: DataFrame, keys: list[str], value: str | Column, k: float, *
             if spread == "std":
                 s = array_std(a, m["mean"])
             else:
-                s = MAD_TO_SIGMA * array_median(F.array_sort(F.transform(a, lambda x: F.abs(x - m["centre"]))))
+                s = MAD_TO_SIGMA * array_median(F.sort_array(F.transform(a, lambda x: F.abs(x - m["centre"]))))
             bounds = F.struct((m["centre"] - k * s).alias("low"), (m["centre"] + k * s).alias("high"))
             return _let(bounds, lambda b: F.struct(F.filter(a, lambda x: (x >= b["low"]) & (x <= b["high"])).alias("kept"), b["low"].alias("low"), b["high"].alias("high")))
 
@@ -59,7 +59,8 @@ def clip_groups(df: DataFrame, keys: list[str], value: str | Column, k: float, *
         return _let(F.struct(mean.alias("mean"), (array_median(a) if centre == "median" else mean).alias("centre")), bounded)
 
     start = F.struct(F.col("_a").alias("kept"), nothing.alias("low"), nothing.alias("high"))
-    return g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, round_).alias("_s")).select(*keys, "_s.kept", "_s.low", "_s.high")
+    before = _let(array_mean(F.col("_a")), lambda m: array_std(F.col("_a"), m))
+    return g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, round_).alias("_s"), before.alias("std_before")).select(*keys, "_s.kept", "_s.low", "_s.high", "std_before")
 
 
 def sigma_clip_stats(df: DataFrame, keys: list[str], value: str | Column, k: float, **how) -> DataFrame:
@@ -70,12 +71,16 @@ def sigma_clip_stats(df: DataFrame, keys: list[str], value: str | Column, k: flo
     return g.select(*keys, F.size(a).alias("n"), array_mean(a).alias("mean"), array_median(a).alias("median"), std.alias("std"))
 
 
-def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, **how) -> DataFrame:
-    """``df`` with ``clipped``: whether a reading is outside the last bounds of its group (null for a null reading)."""
-    bounds = clip_groups(df, keys, value, k, **how).select(*(F.col(c).alias(f"_k_{c}") for c in keys), "low", "high")
+def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, *, tolerance: float | None = None, **how) -> DataFrame:
+    """``df`` with ``clipped``: whether a reading is outside the last bounds of its group (null for a null reading). With
+    ``tolerance``, nothing is clipped in a group whose standard deviation does not exceed it."""
+    bounds = clip_groups(df, keys, value, k, **how).select(*(F.col(c).alias(f"_k_{c}") for c in keys), "low", "high", "std_before")
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
     joined = df.join(bounds, on, "left")
-    return joined.withColumn("clipped", ~F.col(value).between(F.col("low"), F.col("high"))).drop("low", "high", *(f"_k_{c}" for c in keys))
+    outside = ~F.col(value).between(F.col("low"), F.col("high"))
+    if tolerance is not None:
+        outside = (F.col("std_before") > tolerance) & outside
+    return joined.withColumn("clipped", outside).drop("low", "high", "std_before", *(f"_k_{c}" for c in keys))
 
 
 def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median") -> DataFrame:

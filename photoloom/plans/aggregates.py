@@ -14,7 +14,7 @@ from photoloom.operators.clip import array_mean, array_median, array_std, sigma_
 from photoloom.operators.nearest import unambiguous
 from photoloom.operators.spatial import sky_pairs
 from photoloom.operators.spikes import image_times
-from photoloom.plans.projections import WCS, WCS_COLUMNS, solutions, sql_separation, sql_sky
+from photoloom.plans.projections import SQL_TIMES, WCS, WCS_COLUMNS, solutions, sql_separation, sql_sky
 from photoloom.plans.registry import Registry, Tables, r, sql_clip, sql_values
 
 query = Registry()
@@ -27,9 +27,9 @@ def _stats(df):
     return df.withColumns({"mean": r("mean", 9), "median": r("median", 9), "std": r("std", 7)}).where("n > 0")
 
 
-@query("clip_airmass", f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames WHERE object_name IS NOT NULL AND object_name <> (SELECT mode(object_name) FROM frames)', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL")
+@query("clip_airmass", f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL")
 def clip_airmass(t):
-    """Every series, frames without an object name as series of their own; the SQL leaves out the most frequent name and these."""
+    """Every series; frames without an object name are series of their own."""
     return _stats(sigma_clip_counted(t.frames, ["object_name", "filter_name"], "airmass", 1.5, centre="mean"))
 
 
@@ -43,27 +43,32 @@ def clip_flux_image(t):
     return _stats(sigma_clip_stats(t.photometry.where("flux_fit <> 0"), ["image_id"], "flux_fit", 1.5))
 
 
-_NIGHTLY = "SELECT object_id, filter_name, floor(jd)::BIGINT AS night, mag_cali_trans AS v FROM photometry JOIN (SELECT image_id, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id) USING (image_id) WHERE mag_cali_trans IS NOT NULL"
+_SERIES = "object_id, filter_name"
 
 
-@query("clip_mag_object", f"WITH {sql_clip(_NIGHTLY, 'object_id, filter_name, night', 1.5)} SELECT object_id, filter_name, night, {STATS} FROM c5 GROUP BY ALL")
+@query("clip_mag_object", f"WITH {sql_clip(f'SELECT {_SERIES}, mag_cali_trans AS v FROM photometry', _SERIES, 1.5)} SELECT {_SERIES}, {STATS} FROM c5 GROUP BY ALL")
 def clip_mag_object(t):
-    """Each object and filter over all frames; the SQL clips night by night."""
+    """Each object and filter over all frames."""
     return _stats(sigma_clip_counted(t.photometry, ["object_id", "filter_name"], "mag_cali_trans", 1.5))
 
 
-@query("clip_temperature", f"WITH f AS (SELECT DISTINCT image_id, instrume, floor(jd)::BIGINT AS night, ccd_temp FROM frames WHERE jd IS NOT NULL AND ccd_temp IS NOT NULL AND instrume = 'Orrery Ultra 57'), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0, 3)}, b AS (SELECT instrume, night, m - 2.0 * s AS low, m + 2.0 * s AS high FROM b2) SELECT image_id, NOT ccd_temp BETWEEN low AND high AS clipped FROM f JOIN b USING (instrume, night)")
+_TEMPERATURES = f"SELECT DISTINCT image_id, instrume, floor(i.jd)::BIGINT AS night, ccd_temp FROM frames JOIN {SQL_TIMES} i USING (image_id) WHERE ccd_temp IS NOT NULL"
+
+
+@query("clip_temperature", f"""WITH f AS ({_TEMPERATURES}), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0)}, d AS (SELECT instrume, night, stddev_pop(ccd_temp) AS s0 FROM f GROUP BY ALL)
+    SELECT image_id, s0 > 5.0 AND NOT ccd_temp BETWEEN m - 2.0 * s AND m + 2.0 * s AS clipped FROM f JOIN b4 ON f.instrume IS NOT DISTINCT FROM b4.instrume AND f.night IS NOT DISTINCT FROM b4.night JOIN d ON f.instrume IS NOT DISTINCT FROM d.instrume AND f.night IS NOT DISTINCT FROM d.night""")
 def clip_temperature(t):
-    """Frames of every instrument and night, a missing jd taken from date_obs; the SQL has one instrument and frames with jd only."""
+    """Frames of every instrument and night whose temperature is off, where the night's temperatures scatter beyond the
+    tolerance; a missing jd is taken from date_obs."""
     f = t.frames.where("ccd_temp IS NOT NULL").select("image_id", "instrume", "ccd_temp").distinct().join(image_times(t.frames), "image_id")
     f = f.select("image_id", "instrume", F.floor("jd").cast("long").alias("night"), "ccd_temp")
-    return sigma_clip_flags(f, ["instrume", "night"], "ccd_temp", 2.0, iterations=3).select("image_id", "clipped")
+    return sigma_clip_flags(f, ["instrume", "night"], "ccd_temp", 2.0, tolerance=5.0).select("image_id", "clipped")
 
 
-@query("clip_background", None)
+@query("clip_background", f"WITH {sql_clip('SELECT image_id, flux_err AS v FROM photometry', 'image_id', 5.0, spread='mad')} SELECT image_id, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std FROM c5 GROUP BY image_id")
 def clip_background(t):
     """Sky level and noise of each image: 5 sigma clipping with the scaled median absolute deviation."""
-    g = sigma_clip_stats(t.photometry, ["image_id"], "flux_err", 5.0, spread="mad")
+    g = sigma_clip_stats(t.photometry, ["image_id"], "flux_err", 5.0, spread="mad").where("n > 0")
     return g.select("image_id", "n", r("median").alias("median"), r("std").alias("std"))
 
 
@@ -131,12 +136,10 @@ def quasi_flux(t):
     return t.photometry.join(g, "image_id").select("image_id", "object_id", r(c("flux_fit") / c("median"), 9).alias("flux"))
 
 
-_FLUX_NIGHT = _NIGHTLY.replace("mag_cali_trans AS v", "image_id, flux_fit AS v").replace("mag_cali_trans IS NOT NULL", "flux_fit <> 0")
-
-
-@query("flux_normalization", f"WITH d AS ({_FLUX_NIGHT}), {sql_clip('SELECT object_id, filter_name, night, v FROM d', 'object_id, filter_name, night', 1.5)}, g AS (SELECT object_id, filter_name, night, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL) SELECT image_id, object_id, round(v / m, 9) AS flux FROM d JOIN g USING (object_id, filter_name, night) WHERE m <> 0")
+@query("flux_normalization", f"""WITH {sql_clip(f'SELECT {_SERIES}, flux_fit AS v FROM photometry WHERE flux_fit <> 0', _SERIES, 1.5)}, g AS (SELECT {_SERIES}, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL)
+    SELECT image_id, p.object_id, round(flux_fit / m, 9) AS flux FROM photometry p JOIN g ON p.object_id IS NOT DISTINCT FROM g.object_id AND p.filter_name IS NOT DISTINCT FROM g.filter_name WHERE flux_fit <> 0 AND m <> 0""")
 def flux_normalization(t):
-    """Fluxes over the clipped median of their object and filter in all frames; the SQL takes the median of the night."""
+    """Fluxes over the clipped median of their object and filter in all frames."""
     d = t.photometry.where("flux_fit <> 0").select("image_id", "object_id", "filter_name", "flux_fit")
     g = sigma_clip_counted(d, ["object_id", "filter_name"], "flux_fit", 1.5).where("median <> 0")
     g = g.select(c("object_id").alias("_o"), c("filter_name").alias("_f"), "median")
@@ -254,18 +257,25 @@ def transform_air_mass(t):
     return t.photometry.where("filter_name = 'V'").join(f, "image_id").select("image_id", "object_id", r(c("mags_fit") + 24.3 + (0.05 + 0.012 * F.coalesce("x", F.lit(1.0))) * 0.6).alias("mag"))
 
 
-@query("bootstrap_zp", """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),
-    n AS (SELECT catalog_code, count(*) AS n FROM z GROUP BY 1), d AS (SELECT catalog_code, n, rep, ((rep * 7919 + j * 104729 + rep * j * 31) % n) AS k FROM n, generate_series(0, 99) a(rep), generate_series(0, 5999) b(j) WHERE n > 20 AND j < floor(0.6 * n)),
-    m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
+@query("bootstrap_zp", """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY mag_v, cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),
+    n AS (SELECT catalog_code, count(*) AS n FROM z GROUP BY 1), j AS (SELECT catalog_code, n, unnest(range(CAST(floor(0.6 * n) AS BIGINT))) AS j FROM n WHERE n > 20),
+    d AS (SELECT catalog_code, rep, ((rep * 7919 + j * 104729 + rep * j * 31) % n) AS k FROM j, range(1000) a(rep)), m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
     SELECT catalog_code, round(quantile_cont(m, 0.5), 6) AS median, round(stddev_pop(m), 6) AS std FROM m GROUP BY catalog_code""")
 def bootstrap_zp(t):
-    """Median and spread of the medians of 1000 draws of 60 per cent with replacement; the SQL makes 100. Draws are arithmetic on row numbers, so they
-    do not depend on the layout; a group's draws are made from its sorted array, not by a join."""
-    z = t.calib.where("mag_v IS NOT NULL").select("cal_id", "catalog_code", "mag_v").distinct()
-    g = z.groupBy("catalog_code").agg(F.transform(F.array_sort(F.collect_list(F.struct("cal_id", "mag_v"))), lambda s: s["mag_v"]).alias("a")).where(F.size("a") > 20)
-    d = g.select("catalog_code", "a", F.size("a").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(999))).alias("rep"))
-    draw = F.transform(F.sequence(F.lit(0), F.floor(0.6 * c("n")).cast("int") - 1), lambda j: F.get("a", ((c("rep").cast("long") * 7919 + j.cast("long") * 104729 + c("rep") * j.cast("long") * 31) % c("n")).cast("int")))
-    m = d.select("catalog_code", F.array_sort(draw).alias("a")).select("catalog_code", array_median(c("a")).alias("m"))
+    """Median and spread of the medians of 1000 draws of 60 per cent with replacement. Draws are arithmetic on ranks, so they do
+    not depend on the layout. The median of a draw is at the median of the drawn ranks: a draw is made of ranks alone, in a task
+    of its own, and no value is copied; only the two middle ranks of each draw meet the values. Ranks come from counts of
+    value bins and row numbers within the bins, so no task sorts a whole catalogue."""
+    z = t.calib.where("mag_v IS NOT NULL").select("cal_id", "catalog_code", "mag_v").distinct().withColumn("bin", F.floor(c("mag_v") * 20))
+    bins = z.groupBy("catalog_code", "bin").agg(F.count("*").alias("in_bin"))
+    below = W.partitionBy("catalog_code").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(below), F.lit(0)))
+    ranked = z.join(bins, ["catalog_code", "bin"]).withColumn("k", c("before") + F.row_number().over(W.partitionBy("catalog_code", "bin").orderBy("mag_v", "cal_id")) - 1)
+    size = bins.groupBy("catalog_code").agg(F.sum("in_bin").alias("n")).where("n > 20")
+    d = size.select("catalog_code", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("rep")).repartition("catalog_code", "rep")
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(0.6 * c("n")) - 1), lambda j: (c("rep") * 7919 + j * 104729 + c("rep") * j * 31) % c("n")))
+    d = d.select("catalog_code", "rep", drawn.alias("a")).select("catalog_code", "rep", F.explode(F.array(F.get("a", F.floor((F.size("a") - 1) / 2).cast("int")), F.get("a", F.floor(F.size("a") / 2).cast("int")))).alias("k"))
+    m = d.join(ranked.select("catalog_code", "k", "mag_v"), ["catalog_code", "k"]).groupBy("catalog_code", "rep").agg(F.avg("mag_v").alias("m"))
     return m.groupBy("catalog_code").agg(r(F.percentile("m", 0.5)).alias("median"), r(F.stddev_pop("m")).alias("std"))
 
 
@@ -275,5 +285,5 @@ def mc_samples(t):
     partitioning (samples are hashes of the key and the sample's number)."""
     d = t.comp_stars.where("mag_v IS NOT NULL").select("auid", "mag_v", F.coalesce("err_v", F.lit(0.03)).alias("s")).distinct()
     x = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: c("mag_v") + c("s") * normal_sample(7, c("auid"), k))
-    x = d.select("auid", F.array_sort(x).alias("x")).select("auid", "x", array_mean(c("x")).alias("mean"))
+    x = d.select("auid", F.sort_array(x).alias("x")).select("auid", "x", array_mean(c("x")).alias("mean"))
     return x.select("auid", r(array_median(c("x"))).alias("median"), r(array_std(c("x"), c("mean"))).alias("std"))

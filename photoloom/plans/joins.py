@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from photoloom.operators.nearest import mutual_best, nearest_on_axis, unambiguous
 from photoloom.operators.spatial import pixel_pairs, sky_pairs
 from photoloom.operators.spikes import image_times
-from photoloom.plans.projections import WCS, WCS_COLUMNS, solutions, sql_separation
+from photoloom.plans.projections import SQL_TIMES, WCS, WCS_COLUMNS, solutions, sql_separation
 from photoloom.plans.registry import Registry, Tables, r, sql_values
 from photoloom.functions.sky import sky_to_pixel
 
@@ -107,21 +107,18 @@ def fov_filter(t):
     return d.where("x >= 0 AND x <= nx - 1 AND y >= 0 AND y <= ny - 1").select("image_id", "auid", r("x", 3).alias("x"), r("y", 3).alias("y"))
 
 
-_TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id)"
-
-
 def _timed(t: Tables):
     times = image_times(t.frames)
     f = t.frames.groupBy("image_id").agg(F.min("filter_name").alias("f"), F.min("object_name").alias("o"))
     return f.join(times, "image_id").where("o IS NOT NULL AND jd IS NOT NULL")
 
 
-@query("nearest_time_other_filter", f"""WITH d AS (SELECT *, floor(jd)::BIGINT AS night FROM {_TIMES} WHERE o IS NOT NULL AND jd IS NOT NULL), v AS (SELECT * FROM d WHERE f = 'V'), b AS (SELECT o, night, jd, min(image_id) AS image_id FROM d WHERE f = 'B' GROUP BY ALL),
-    p AS (SELECT v.image_id, v.jd, b.image_id AS p_id, b.jd AS p_jd FROM v ASOF LEFT JOIN b ON v.o = b.o AND v.night = b.night AND v.jd >= b.jd),
-    n AS (SELECT v.image_id, b.image_id AS n_id, b.jd AS n_jd FROM v ASOF LEFT JOIN b ON v.o = b.o AND v.night = b.night AND v.jd <= b.jd)
+@query("nearest_time_other_filter", f"""WITH d AS (SELECT * FROM {SQL_TIMES} WHERE o IS NOT NULL AND jd IS NOT NULL), v AS (SELECT * FROM d WHERE f = 'V'), b AS (SELECT o, jd, min(image_id) AS image_id FROM d WHERE f = 'B' GROUP BY ALL),
+    p AS (SELECT v.image_id, v.jd, b.image_id AS p_id, b.jd AS p_jd FROM v ASOF LEFT JOIN b ON v.o = b.o AND v.jd >= b.jd),
+    n AS (SELECT v.image_id, b.image_id AS n_id, b.jd AS n_jd FROM v ASOF LEFT JOIN b ON v.o = b.o AND v.jd <= b.jd)
     SELECT image_id, CASE WHEN p_id IS NULL OR n_jd - jd < jd - p_jd THEN n_id ELSE p_id END AS near_image_id FROM p JOIN n USING (image_id)""")
 def nearest_time_other_filter(t):
-    """The image of the second filter nearest in time, over all nights of the object; the SQL still looks within the night only."""
+    """The image of the second filter nearest in time, over all nights of the object."""
     d = _timed(t)
     return nearest_on_axis(d.where("f = 'V'"), d.where("f = 'B'"), ["o"], "jd", "image_id", period=1.0).select("image_id", "near_image_id")
 
@@ -150,7 +147,7 @@ def exposure_uncovered(t):
 COEFFICIENTS = [(2450000.0, "V", 0.05, -0.012), (2450040.0, "V", 0.047, -0.011), (2450090.0, "V", 0.051, -0.013), (2450000.0, "B", 0.11, -0.02), (2450060.0, "B", 0.105, -0.018)]
 
 
-@query("coeff_asof", f"SELECT image_id, t1, k1 FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY start_jd DESC) AS n FROM {_TIMES} f JOIN {sql_values(COEFFICIENTS, 'start_jd, filter, t1, k1')} ON f.f = filter AND start_jd <= jd) WHERE n = 1")
+@query("coeff_asof", f"SELECT image_id, t1, k1 FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY start_jd DESC) AS n FROM {SQL_TIMES} f JOIN {sql_values(COEFFICIENTS, 'start_jd, filter, t1, k1')} ON f.f = filter AND start_jd <= jd) WHERE n = 1")
 def coeff_asof(t):
     sets = t.values(COEFFICIENTS, "start_jd double, filter string, t1 double, k1 double")
     d = t.frames.groupBy("image_id").agg(F.min("filter_name").alias("f")).join(image_times(t.frames), "image_id")

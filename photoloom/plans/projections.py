@@ -17,6 +17,8 @@ query = Registry()
 c = F.col
 
 WCS = "(SELECT image_id, min(crpix1) crpix1, min(crpix2) crpix2, min(crval1) crval1, min(crval2) crval2, min(cd11) cd11, min(cd12) cd12, min(cd21) cd21, min(cd22) cd22 FROM wcs GROUP BY image_id)"
+#: image_id, f, o, jd of each image.
+SQL_TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id)"
 WCS_COLUMNS = ["crpix1", "crpix2", "crval1", "crval2", "cd11", "cd12", "cd21", "cd22"]
 
 
@@ -205,9 +207,10 @@ def spline_lookup(t):
     return t.frames.select("image_id", r(P.piecewise_linear(c("gain"), GAIN)).alias("e_per_adu")).where("e_per_adu IS NOT NULL")
 
 
-@query("fold_phase", "SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase FROM (SELECT DISTINCT image_id, object_name, jd FROM frames WHERE jd IS NOT NULL) f JOIN targets ON object_name = name WHERE period_d > 0 AND t0_jd IS NOT NULL")
+@query("fold_phase", f"""SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase
+    FROM (SELECT DISTINCT image_id, object_name FROM frames) f JOIN {SQL_TIMES} i USING (image_id) JOIN targets ON object_name = name WHERE period_d > 0 AND t0_jd IS NOT NULL AND jd IS NOT NULL""")
 def fold_phase(t):
-    """Phase of every frame of a periodic target, a missing jd taken from date_obs; the SQL has frames with jd only."""
+    """Phase of every frame of a periodic target, a missing jd taken from date_obs."""
     f = t.frames.select("image_id", "object_name").distinct().join(image_times(t.frames), "image_id").where("jd IS NOT NULL")
     g = t.targets.where("period_d > 0 AND t0_jd IS NOT NULL")
     return f.join(g, c("object_name") == c("name")).select("image_id", "name", r(P.phase(c("jd"), c("t0_jd"), c("period_d")), 5).alias("phase"))

@@ -52,11 +52,12 @@ def sql_values(rows: list[tuple], columns: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(quote, row)) + ')' for row in rows)}) AS v({columns})"
 
 
-def sql_clip(source: str, keys: str, k: float, iterations: int = 5, centre: str = "median") -> str:
+def sql_clip(source: str, keys: str, k: float, iterations: int = 5, centre: str = "median", spread: str = "std") -> str:
     """CTEs c0..cn over ``source`` (keys, v): cn has what sigma clipping leaves."""
     mid = "quantile_cont(v, 0.5)" if centre == "median" else "avg(v)"
     parts = [f"c0 AS (SELECT {keys}, v FROM ({source}) s WHERE v IS NOT NULL)"]
     for i in range(iterations):
-        parts.append(f"b{i} AS (SELECT {keys}, {mid} AS m, stddev_pop(v) AS s FROM c{i} GROUP BY ALL)")
+        scatter = "stddev_pop(v)" if spread == "std" else "1.482602218505602 * mad(v)"
+        parts.append(f"b{i} AS (SELECT {keys}, {mid} AS m, {scatter} AS s FROM c{i} GROUP BY ALL)")
         parts.append(f"c{i + 1} AS (SELECT {', '.join(f'c{i}.{x.strip()}' for x in keys.split(','))}, v FROM c{i} JOIN b{i} ON {' AND '.join(f'c{i}.{x.strip()} IS NOT DISTINCT FROM b{i}.{x.strip()}' for x in keys.split(','))} WHERE v BETWEEN m - {k} * s AND m + {k} * s)")
     return ", ".join(parts)

@@ -1,44 +1,11 @@
-"""Queries do the whole job: compared with SQL that has no cut (the registered SQL of some still has one)."""
+"""Operators for groups without a bound, against brute force."""
 
 import pytest
 
 from photoloom.operators.clip import sigma_clip_counted
 from photoloom.operators.nearest import nearest_on_axis
 from photoloom.plans import reference
-from photoloom.plans.aggregates import STATS
-from photoloom.plans.registry import sql_clip
 from tests.test_clip import GROUPS, brute
-from tests.oracle import compare, connect
-
-_TIMES = "(SELECT image_id, min(filter_name) AS f, min(object_name) AS o, coalesce(min(jd), min(epoch_us(date_obs) / 86400e6 + 2440587.5)) AS jd FROM frames GROUP BY image_id)"
-
-WHOLE = {
-    "nearest_time_other_filter": f"""WITH d AS (SELECT * FROM {_TIMES} WHERE o IS NOT NULL AND jd IS NOT NULL), v AS (SELECT * FROM d WHERE f = 'V'), b AS (SELECT * FROM d WHERE f = 'B')
-        SELECT v.image_id, arg_min(b.image_id, (abs(b.jd - v.jd), b.jd, b.image_id)) AS near_image_id FROM v LEFT JOIN b ON v.o = b.o GROUP BY v.image_id""",
-    "clip_airmass": f"WITH {sql_clip('SELECT object_name, filter_name, airmass AS v FROM frames', 'object_name, filter_name', 1.5, centre='mean')} SELECT object_name, filter_name, {STATS} FROM c5 GROUP BY ALL",
-}
-
-_TEMPERATURES = f"SELECT DISTINCT image_id, instrume, floor(i.jd)::BIGINT AS night, ccd_temp FROM frames JOIN {_TIMES} i USING (image_id) WHERE ccd_temp IS NOT NULL"
-WHOLE["clip_temperature"] = f"""WITH f AS ({_TEMPERATURES}), {sql_clip('SELECT instrume, night, ccd_temp AS v FROM f', 'instrume, night', 2.0, 3)}
-    SELECT image_id, NOT ccd_temp BETWEEN m - 2.0 * s AND m + 2.0 * s AS clipped FROM f JOIN b2 ON f.instrume IS NOT DISTINCT FROM b2.instrume AND f.night IS NOT DISTINCT FROM b2.night"""
-WHOLE["fold_phase"] = f"""SELECT image_id, name, round(CAST((jd - t0_jd) / period_d - floor((jd - t0_jd) / period_d) AS DOUBLE), 5) AS phase
-    FROM {_TIMES} JOIN targets ON o = name WHERE period_d > 0 AND t0_jd IS NOT NULL AND jd IS NOT NULL"""
-
-_SERIES = "object_id, filter_name"
-WHOLE["clip_mag_object"] = f"WITH {sql_clip(f'SELECT {_SERIES}, mag_cali_trans AS v FROM photometry', _SERIES, 1.5)} SELECT {_SERIES}, {STATS} FROM c5 GROUP BY ALL"
-WHOLE["flux_normalization"] = f"""WITH {sql_clip(f'SELECT {_SERIES}, flux_fit AS v FROM photometry WHERE flux_fit <> 0', _SERIES, 1.5)}, g AS (SELECT {_SERIES}, quantile_cont(v, 0.5) AS m FROM c5 GROUP BY ALL)
-    SELECT image_id, p.object_id, round(flux_fit / m, 9) AS flux FROM photometry p JOIN g ON p.object_id IS NOT DISTINCT FROM g.object_id AND p.filter_name IS NOT DISTINCT FROM g.filter_name WHERE flux_fit <> 0 AND m <> 0"""
-
-WHOLE["bootstrap_zp"] = """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),
-    n AS (SELECT catalog_code, count(*) AS n FROM z GROUP BY 1), j AS (SELECT catalog_code, n, unnest(range(CAST(floor(0.6 * n) AS BIGINT))) AS j FROM n WHERE n > 20),
-    d AS (SELECT catalog_code, rep, ((rep * 7919 + j * 104729 + rep * j * 31) % n) AS k FROM j, range(1000) a(rep)), m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
-    SELECT catalog_code, round(quantile_cont(m, 0.5), 6) AS median, round(stddev_pop(m), 6) AS std FROM m GROUP BY catalog_code"""
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_whole_job(spark, sf, name):
-    assert compare(spark, connect(sf), sf, reference.QUERIES[name], WHOLE[name]) == ""
-
 
 def test_nearest_looks_beyond_the_period(spark):
     left = spark.createDataFrame([(1, "a", 10.5), (2, "a", 10.9), (3, "a", 14.0), (4, "a", None), (5, "b", 3.0), (6, None, 5.5), (7, "a", 1.0)], "id int, o string, t double")
