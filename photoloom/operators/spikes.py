@@ -1,27 +1,32 @@
 """Implausible readings in measured series (problem 2).
 
-``score_readings`` scores every non-null reading of every value column, each by the series it belongs to: one source in one
-filter during one night.  Within a series the readings get features (level against the local median, differences to both
-neighbours, seasonal deviation from the course of the night, run length, and, where an instrument's own magnitude is given,
-the level of the difference to it: real variability moves both, a faulty reading only one).  An isolation forest is grown for
-each series on at most ``PSI`` of its readings and scores all of them.  Explicit rules go with the score: physical limits, and
-runs of one value.  A spike is what the forest isolates early *and* an exact check confirms: far outside the local spread, not
-followed by the instrument's magnitude, and no longer than two readings.
-
-The series are laid out by one shuffle on (source, filter, night), sorted, and worked through in Arrow batches, many series at a
-time in NumPy; a source with a third of all rows is spread over its nights, and no task holds more than a batch and one night.
+``score_readings`` scores every non-null reading of every value column.  A reading's features are taken within its night: the
+level against the local median (of the reading, and of its difference to the instrument's own magnitude: real variability moves
+both, a faulty reading only one), the differences to both neighbours, the course of the night, the run length, and, over all
+nights of the source, the seasonal deviation from what it shows in that hour.  One isolation forest for each source and filter
+learns what is normal there and scores all its readings.  A spike is a reading whose score stands out from the *source's own
+scores* (``OUTSTANDING`` robust deviations above their median) and that an exact check confirms: off the local level, not
+followed by the instrument's magnitude, and no longer than two readings.  Explicit rules go with the score: physical limits, and
+runs of one value.
+
+Layout: one shuffle on (source, filter, part).  A source of at most ``PLENTY`` readings is one part, and its forest is grown
+where it is scored, many sources side by side in NumPy.  A source with more is spread over its nights; a hash sample of its
+features (``SAMPLE`` readings) goes with each night, and the forest that is grown from it is the same in all of them, as all
+random choices are hashes of the source, the tree and the node.  No task holds more than a batch and one part.  Sources above
+``PLENTY`` are at most ``MOST_PLENTIFUL``, since the bound rises with the table; only their keys are broadcast.
 
 Defined results
 ---------------
 * repeated rows (same source, image) count once; a null or NaN value is no reading; a null source or image is ignored.
 * an image without a time gets only the rule of physical limits.
-* ties in time are ordered by image number; a series of one or two readings has no spikes, only limits apply to it.
+* ties in time are ordered by image number; a night of one or two readings has no spikes, only limits apply to it.
 * an empty table gives an empty result; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +38,15 @@ from pyspark.sql import functions as F
 LIMITS = (-2.0, 30.0)
 #: Readings of one value in a row that make a stuck run.
 STUCK = 6
-#: Trees and readings for each tree of an isolation forest.
-TREES, PSI = 12, 256
-#: Score from which the exact check looks at a reading, and the check's bounds in units of the local spread.
-SCORE, LEVEL_SIGMAS, FIT_SIGMAS, ALONE_SIGMAS = 0.47, 5.0, 6.0, 8.0
+#: Trees, and readings for each tree, of an isolation forest.
+TREES, PSI = 16, 128
+#: Readings of a source that are kept in one part, the most sources that may have more, and the sample of such a source.
+PLENTY, MOST_PLENTIFUL, SAMPLE = 20_000, 65_536, 1024
+#: A score stands out from this many robust deviations above the median score of its source.
+OUTSTANDING = 3.5
+#: The bounds of the exact check in units of the local spread: of the reading, of its difference to the instrument's magnitude,
+#: and of a reading without such a magnitude.
+LEVEL_SIGMAS, FIT_SIGMAS, ALONE_SIGMAS = 4.0, 5.0, 7.0
 #: Least spread that is believed (magnitudes): readings are printed with four decimals, some with two.
 FLOOR = 0.004
 HALF = 4
@@ -83,139 +93,303 @@ def _group_median(v: np.ndarray, group: np.ndarray, n_groups: int) -> np.ndarray
     return np.where(good > 0, m, np.nan)
 
 
-def _forest(x: np.ndarray, group: np.ndarray, n_groups: int, seed: int) -> np.ndarray:
-    """Isolation scores of the rows of ``x`` (features in columns), one forest for each series, all grown side by side.
+def _hash(*parts: np.ndarray | int) -> np.ndarray:
+    """A 64-bit hash of whole numbers, row by row: the random choices of the forests, the same in every layout."""
+    out = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            out = (out ^ np.asarray(p).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out = out ^ (out >> np.uint64(31))
+    return out
 
-    Every node draws a feature and a cut between the least and the largest value that its sampled readings show; all readings
-    walk down. A reading that is alone in its node after ``d`` cuts has depth ``d``; in a node of ``n`` it has ``d + c(n)``.
-    """
-    n, m = x.shape
-    size = np.bincount(group, minlength=n_groups)
-    rng = np.random.default_rng(seed)
 
-    def c(k: np.ndarray) -> np.ndarray:
-        k = np.maximum(k, 1).astype(float)
-        return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / k, np.where(k == 2, 1.0, 0.0))
+def _unit(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(11)).astype(float) / 2.0**53
 
-    levels = max(1, math.ceil(math.log2(min(PSI, max(2, size.max(initial=2))))))
-    total = np.zeros(n)
-    for _ in range(TREES):
-        taken = rng.random(n) * size[group] < PSI if size.max(initial=0) > PSI else None
-        node, depth, live = group.copy(), np.zeros(n), np.arange(n)
-        kind = node
-        for _ in range(levels):
-            order = live[np.argsort(kind[live], kind="stable")]
-            ids = kind[order]
-            cuts = np.flatnonzero(np.diff(ids, prepend=-1))
-            feature = rng.integers(0, m, len(cuts))
-            run = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(order))))
-            v = x[order, feature[run]]
-            seen = v if taken is None else np.where(taken[order], v, np.nan)
-            low, high = np.fmin.reduceat(seen, cuts), np.fmax.reduceat(seen, cuts)
-            at = low + (high - low) * rng.random(len(cuts))
-            splits = (high > low)[run]
-            right = v > at[run]
-            kind = np.zeros(n, dtype=np.int64)
-            kind[order] = 2 * run + right
-            depth[order[splits]] += 1
-            count = np.bincount(kind[order])
-            go = count[kind[order]] > 1
-            live = order[go]
-            if not len(live):
-                break
-        rest = np.zeros(n)
-        if len(live):
-            ends = np.bincount(kind[live])
-            rest[live] = c(ends[kind[live]])
-        total += depth + rest
-    expected = np.maximum(c(np.minimum(size, PSI)), 1e-9)
-    return np.where(size[group] > 2, 2.0 ** (-(total / TREES) / expected[group]), 0.0)
 
+def _expected(k: np.ndarray) -> np.ndarray:
+    """Cuts that isolate a reading among ``k``, on average."""
+    k = np.maximum(k, 1).astype(float)
+    return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / k, np.where(k == 2, 1.0, 0.0))
 
-def score_series(v: np.ndarray, fit: np.ndarray, series: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """Scores and rules for the readings ``v`` (no NaN) in time order within their ``series`` (equal numbers side by side)."""
+
+def forest_scores(x: np.ndarray, group: np.ndarray, seeds: np.ndarray, rows: np.ndarray, learns: np.ndarray) -> np.ndarray:
+    """Isolation scores of the rows of ``x`` (features in columns), one forest for each group, all trees grown side by side.
+
+    ``group`` numbers rise from 0 and lie side by side, ``seeds`` has one number for each.  Every node draws a feature and a cut
+    between the least and the largest value of the readings that its tree learns from (of those that ``learns`` allows at most
+    about ``PSI``, by a hash of ``rows``); all readings walk down.  A reading that is alone after ``d`` cuts has depth ``d``; one
+    in a node of ``n`` has ``d`` and what ``n`` readings take on average.
+    """
+    n, m = x.shape
+    x = np.ascontiguousarray(x, dtype=np.float32).ravel()
+    size = np.bincount(group[learns], minlength=len(seeds))
+    levels = max(1, math.ceil(math.log2(max(2, min(PSI, size.max(initial=2))))))
+    # Rows of a node lie side by side in ``here``; ``first`` has where each node begins, ``cuts`` how many lead to it.
+    here = np.tile(np.arange(n, dtype=np.int32), TREES)
+    tree = np.repeat(np.arange(TREES), n)
+    learner = np.tile(learns, TREES)
+    if size.max(initial=0) > PSI:
+        learner &= _unit(_hash(rows[here], tree)) * size[group][here] < PSI
+    everyone = bool(learner.all())
+    first = np.flatnonzero(np.diff(tree * len(seeds) + group[here], prepend=-1))
+    seed, cuts = _hash(seeds[group[here[first]]], tree[first]), np.zeros(len(first))
+    total = np.zeros(n)
+    for level in range(levels + 1):
+        length = np.diff(np.append(first, len(here)))
+        count = length if everyone else np.add.reduceat(learner, first, dtype=np.int64)
+        ends = (count <= 1) | (level == levels)
+        run = np.repeat(np.arange(len(first), dtype=np.int32), length)
+        if ends.any():
+            over = ends[run]
+            total += np.bincount(here[over], weights=np.repeat((cuts + _expected(count))[ends], length[ends]), minlength=n)
+            here = here[~over]
+            if not len(here):
+                break
+            learner = learner if everyone else learner[~over]
+            length, seed, cuts = length[~ends], seed[~ends], cuts[~ends]
+            first = np.concatenate([[0], np.cumsum(length)[:-1]])
+            run = np.repeat(np.arange(len(first), dtype=np.int32), length)
+        v = x[here * m + (seed % np.uint64(m)).astype(np.int32)[run]]
+        if everyone:
+            low, high = np.minimum.reduceat(v, first), np.maximum.reduceat(v, first)
+        else:
+            low = np.minimum.reduceat(np.where(learner, v, np.float32(np.inf)), first)
+            high = np.maximum.reduceat(np.where(learner, v, np.float32(-np.inf)), first)
+        splits = high > low
+        # A node whose drawn feature does not tell its readings apart counts no cut and draws another one.
+        cut = np.where(splits, low + (high - low) * _unit(_hash(seed, 1)).astype(np.float32), np.float32(np.inf))
+        right = v > cut[run]
+        seen = np.concatenate([[0], np.cumsum(right)])
+        n_right = seen[first + length] - seen[first]
+        before = seen[:-1] - seen[first][run]
+        place = np.where(right, (first + length - n_right)[run] + before, np.arange(len(here)) - before)
+        moved = np.empty_like(here)
+        moved[place] = here
+        here = moved
+        if not everyone:
+            kept = np.empty_like(learner)
+            kept[place] = learner
+            learner = kept
+        filled = np.stack([n_right < length, n_right > 0], axis=1)
+        cuts = np.repeat(cuts + splits, 2).reshape(-1, 2)[filled]
+        seed = np.stack([_hash(seed, 2), _hash(seed, 3)], axis=1)[filled]
+        first = np.stack([first, first + length - n_right], axis=1)[filled]
+    expected = np.maximum(_expected(np.minimum(size, PSI)), 1e-9)
+    return np.where(size[group] > 2, 2.0 ** (-(total / TREES) / expected[group]), 0.5)
+
+
+#: The features of a reading (the seasonal one is added where the whole source, or its sample, is at hand).
+FEATURES = ("level", "course", "difference_level", "before", "after", "run_length")
+
+
+def night_features(v: np.ndarray, fit: np.ndarray, night: np.ndarray) -> dict[str, np.ndarray]:
+    """Rules and features of the readings ``v`` (no NaN), in time order within ``night`` (numbers that rise from 0)."""
     n = len(v)
-    starts = np.flatnonzero(np.diff(series, prepend=series[0] - 1)) if n else np.zeros(0, int)
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n))) if n else np.zeros(0, np.int64)
-    g = len(starts)
     impossible = ~((v >= LIMITS[0]) & (v <= LIMITS[1]))
-    new = (np.diff(v, prepend=np.nan) != 0) | (np.diff(group, prepend=-1) != 0)
+    new = (np.diff(v, prepend=np.nan) != 0) | (np.diff(night, prepend=-1) != 0)
     run = np.cumsum(new) - 1
     length = np.bincount(run)[run] if n else np.zeros(0)
     stuck = length >= STUCK
     ok = ~impossible & ~stuck
-    score, spike = np.zeros(n), np.zeros(n, bool)
+    x, confirmed = np.zeros((n, len(FEATURES))), np.zeros(n, bool)
+    q = v - fit
     if ok.any():
-        w, f, h, ln = v[ok], fit[ok], group[ok], length[ok]
-        med = _local_median(w, starts, h)
-        r = w - med
+        w, p = v[ok], q[ok]
+        kept, h = np.unique(night[ok], return_inverse=True)
+        g = len(kept)
+        r = w - _local_median(w, None, h)
         spread = np.maximum(1.4826 * _group_median(np.abs(r), h, g), FLOOR)[h]
-        q = w - f
-        rq = q - _local_median(q, starts, h)
+        rq = p - _local_median(p, None, h)
         sq = np.maximum(1.4826 * _group_median(np.abs(rq), h, g), FLOOR)[h]
-        before, after = _near(w, starts, h, -1), _near(w, starts, h, 1)
-        back = _median(np.stack([_near(w, starts, h, -k) for k in (1, 2, 3)]))
-        ahead = _median(np.stack([_near(w, starts, h, k) for k in (1, 2, 3)]))
-        course = w - np.where(np.isnan(back), ahead, np.where(np.isnan(ahead), back, (back + ahead) / 2))
-        with np.errstate(invalid="ignore"):
-            x = np.nan_to_num(np.stack([r / spread, (w - before) / spread, (w - after) / spread, course / spread, np.log1p(ln), rq / sq], axis=1))
-        score[ok] = _forest(x, h, g, seed)
         known = ~np.isnan(rq)
         with np.errstate(invalid="ignore"):
-            far = np.where(known, (np.abs(r) >= LEVEL_SIGMAS * spread) & (np.abs(rq) >= FIT_SIGMAS * sq), np.abs(r) >= ALONE_SIGMAS * spread)
-        streak_new = (np.diff(far.astype(int), prepend=-1) != 0) | (np.diff(h, prepend=-1) != 0)
-        streak = np.cumsum(streak_new) - 1
-        brief = np.bincount(streak)[streak] <= 2
-        enough = np.bincount(h, minlength=g)[h] > 2
-        spike[ok] = far & brief & enough & (score[ok] >= SCORE)
-    score[impossible] = 1.0
-    return {"score": score, "impossible": impossible, "stuck": stuck, "spike": spike}
-
-
-def _work(columns: list[str]):
-    def series_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            level, off = r / spread, rq / sq
+            # How much of the deviation the instrument's own magnitude does not share.
+            alone = np.where(known, np.sign(off) * np.minimum(np.abs(level), np.abs(off)), level)
+            back, ahead = (_median(np.stack([_near(w, None, h, side * k) for k in (1, 2, 3)])) for side in (-1, 1))
+            course = (w - np.where(np.isnan(back), ahead, np.where(np.isnan(ahead), back, (back + ahead) / 2))) / spread
+            steps = []
+            for k in (-1, 1):
+                by_fit, plain = (p - _near(p, None, h, k)) / sq, (w - _near(w, None, h, k)) / spread
+                steps.append(np.where(np.isnan(by_fit), plain, by_fit))
+            x[ok] = np.nan_to_num(np.stack([alone, course, np.where(known, off, level), *steps, np.log1p(length[ok])], axis=1))
+            far = np.where(known, (np.abs(level) >= LEVEL_SIGMAS) & (np.abs(off) >= FIT_SIGMAS), np.abs(level) >= ALONE_SIGMAS)
+        streak = np.cumsum((np.diff(far.astype(int), prepend=-1) != 0) | (np.diff(h, prepend=-1) != 0)) - 1
+        confirmed[ok] = far & (np.bincount(streak)[streak] <= 2) & (np.bincount(h, minlength=g)[h] > 2)
+    if not ok.all():
+        # Broken readings are scored by the plain distance to the rest of their night.
+        nights = int(night[-1]) + 1
+        clean = np.where(ok, v, np.nan)
+        centre = _group_median(clean, night, nights)
+        centre = np.where(np.isnan(centre), _group_median(v, night, nights), centre)[night]
+        scatter = np.maximum(np.nan_to_num(1.4826 * _group_median(np.abs(clean - centre), night, nights)), FLOOR)[night]
+        level = (v - centre) / scatter
+        steps = [np.nan_to_num((v - _near(v, None, night, k)) / scatter) for k in (-1, 1)]
+        x[~ok] = np.stack([level, level, level, *steps, np.log1p(length)], axis=1)[~ok]
+    return {"x": np.clip(x, -1e6, 1e6), "impossible": impossible, "stuck": stuck, "confirmed": confirmed, "ok": ok}
+
+
+def _seasonal(v: np.ndarray, hour: np.ndarray, group: np.ndarray, n_groups: int, learns: np.ndarray) -> np.ndarray:
+    """Deviation from the median of the source in the same hour, over all its nights, in units of its spread."""
+    slot = group * 24 + hour
+    usual = _group_median(np.where(learns, v, np.nan), slot, n_groups * 24)
+    off = v - usual[slot]
+    spread = np.maximum(np.nan_to_num(1.4826 * _group_median(np.where(learns, np.abs(off), np.nan), group, n_groups)), FLOOR)
+    return np.clip(np.nan_to_num(off / spread[group]), -1e6, 1e6)
+
+
+def score_sources(v: np.ndarray, fit: np.ndarray, hour: np.ndarray, night: np.ndarray, source: np.ndarray, seeds: np.ndarray, rows: np.ndarray, samples: dict[int, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Scores and rules of readings, those of a source side by side, in time order within its nights. ``samples`` has, for a source
+    of which this is but one part, the sampled readings of the whole: row, hour, value and ``FEATURES`` in columns."""
+    got = night_features(v, fit, night)
+    n, x, learns = len(v), got["x"], got["ok"]
+    if samples:
+        learns = learns & ~np.isin(source, list(samples))
+        extra = [(np.full(len(a), k), a) for k, a in samples.items()]
+        more = np.concatenate([a for _, a in extra])
+        where = np.concatenate([source, *(k for k, _ in extra)])
+        order = np.argsort(where, kind="stable")
+        v, hour, x, learns, rows = (np.concatenate([a, b])[order] for a, b in ((v, more[:, 2]), (hour, more[:, 1].astype(np.int64)), (x, more[:, 3:]), (learns, np.ones(len(more), bool)), (rows, more[:, 0].astype(np.int64))))
+        source = where[order]
+    season = _seasonal(v, hour, source, len(seeds), learns)
+    score = forest_scores(np.column_stack([x, season]), source, seeds, rows, learns)
+    own = np.where(learns, score, np.nan)
+    middle = _group_median(own, source, len(seeds))
+    spread = 1.4826 * _group_median(np.abs(own - middle[source]), source, len(seeds))
+    outstanding = score >= np.nan_to_num(middle + OUTSTANDING * spread, nan=np.inf)[source]
+    if samples:
+        mine = np.flatnonzero(order < n)
+        score, outstanding = score[mine], outstanding[mine]
+    return {"score": score, "impossible": got["impossible"], "stuck": got["stuck"], "spike": outstanding & got["confirmed"]}
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Numbers from 0 that rise where any of the columns changes."""
+    change = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change)
+
+
+class _Part:
+    """The readings of one batch of whole parts, column by column."""
+
+    def __init__(self, pdf: pd.DataFrame):
         pdf = pdf[~((pdf["image_id"].diff() == 0) & (pdf["object_id"].diff() == 0)).to_numpy()]
+        self.pdf, self.name = pdf, pdf["filter_name"].fillna("").to_numpy()
+        jd = pdf["jd"].to_numpy(float)
+        self.hour = np.floor(np.nan_to_num(jd - np.floor(jd)) * 24).astype(np.int64)
+
+    def of(self, col: str):
+        v = self.pdf[col].to_numpy(float)
+        have = ~np.isnan(v)
+        obj, night, flt = self.pdf["object_id"].to_numpy()[have], self.pdf["night"].to_numpy()[have], self.name[have]
+        return have, v[have], self.pdf["fit"].to_numpy(float)[have], self.hour[have], _starts(obj, flt, night), _starts(obj, flt)
+
+
+def _whole_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches that end where a part ends."""
+    kept: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        if "sample" in pdf and pdf["sample"].isna().all():
+            pdf = pdf.drop(columns="sample")
         name = pdf["filter_name"].fillna("").to_numpy()
-        out = []
-        for k, col in enumerate(columns):
-            v = pdf[col].to_numpy(float)
-            have = ~np.isnan(v)
-            if not have.any():
-                continue
-            obj, night, flt = pdf["object_id"].to_numpy()[have], pdf["night"].to_numpy()[have], name[have]
-            change = (np.diff(obj, prepend=obj[0] - 1) != 0) | (np.diff(night, prepend=night[0]) != 0) | np.append([True], flt[1:] != flt[:-1])
-            got = score_series(v[have], pdf["fit"].to_numpy(float)[have], np.cumsum(change), seed=k)
-            out.append(pd.DataFrame({"image_id": pdf["image_id"].to_numpy()[have], "object_id": obj, "filter_name": pdf["filter_name"].to_numpy()[have], "field_name": col, "value": v[have], **got}))
-        return pd.concat(out) if out else pd.DataFrame()
+        part = _starts(pdf["object_id"].to_numpy(), name, pdf["part"].to_numpy())
+        begin = int(np.searchsorted(part, part[-1]))
+        if kept:
+            last = kept[-1].iloc[-1]
+            if (last["object_id"], last["filter_name"] or "", last["part"]) != (pdf["object_id"].iloc[0], name[0], pdf["part"].iloc[0]):
+                yield pd.concat(kept)
+                kept = []
+        if begin:
+            yield pd.concat([*kept, pdf.iloc[:begin]])
+            kept = []
+        kept.append(pdf.iloc[begin:])
+    if kept:
+        yield pd.concat(kept)
+
+
+def _sampled(columns: list[str]):
+    """The features of a sample of readings of the sources that are spread over their nights."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # The last series of a batch may go on in the next one.
-            same = ((pdf["object_id"] == pdf["object_id"].iloc[-1]) & (pdf["night"] == pdf["night"].iloc[-1])).to_numpy()
-            begin = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            kept.append(pdf.iloc[:begin] if begin else pdf)
-            if begin:
-                if len(done := series_of(pd.concat(kept))):
-                    yield done
-                kept = [pdf.iloc[begin:]]
-        if kept and len(done := series_of(pd.concat(kept))):
-            yield done
+        for pdf in _whole_parts(batches):
+            part, out = _Part(pdf), []
+            for k, col in enumerate(columns):
+                have, v, fit, hour, night, _ = part.of(col)
+                if not have.any():
+                    continue
+                got, at = night_features(v, fit, night), part.pdf[have]
+                rows = at["image_id"].to_numpy()
+                take = got["ok"] & (_unit(_hash(rows, at["object_id"].to_numpy(), 77)) * at["readings"].to_numpy() < SAMPLE)
+                table = np.column_stack([rows, hour, v, got["x"]])[take]
+                out.append(pd.DataFrame({"object_id": at["object_id"].to_numpy()[take], "filter_name": at["filter_name"].to_numpy()[take], "field": k, "row": [r.tobytes() for r in table]}))
+            if out:
+                yield pd.concat(out)
+
+    return work
+
+
+def _work(columns: list[str]):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_parts(batches):
+            heads = pdf["sample"].notna().to_numpy() if "sample" in pdf else np.zeros(len(pdf), bool)
+            shipped: dict[tuple, dict[int, np.ndarray]] = {}
+            for h in pdf[heads].itertuples():
+                table: dict[int, list[bytes]] = {}
+                for s in h.sample:
+                    table.setdefault(s["field"], []).append(s["row"])
+                shipped[(h.object_id, h.filter_name or "")] = {k: np.frombuffer(b"".join(sorted(b)), dtype=float).reshape(len(b), -1) for k, b in table.items()}
+            part, out = _Part(pdf[~heads]), []
+            for k, col in enumerate(columns):
+                have, v, fit, hour, night, source = part.of(col)
+                if not have.any():
+                    continue
+                at = part.pdf[have]
+                obj, name = at["object_id"].to_numpy(), part.name[have]
+                first = np.flatnonzero(np.diff(source, prepend=-1))
+                keys = list(zip(obj[first].tolist(), name[first].tolist(), strict=True))
+                seeds = _hash(obj[first], np.array([zlib.crc32(f.encode()) for _, f in keys]), k)
+                samples = {i: shipped[key][k] for i, key in enumerate(keys) if k in shipped.get(key, {})}
+                got = score_sources(v, fit, hour, night, source, seeds, at["image_id"].to_numpy(), samples)
+                out.append(pd.DataFrame({"image_id": at["image_id"].to_numpy(), "object_id": obj, "filter_name": at["filter_name"].to_numpy(), "field_name": col, "value": v, **got}))
+            if out:
+                yield pd.concat(out)
 
     return work
 
 
-def score_readings(photometry: DataFrame, frames: DataFrame, columns: tuple[str, ...] = ("mag_cali_trans", "mag_cali_no_trans"), instrument: str = "mags_fit") -> DataFrame:
+def score_readings(photometry: DataFrame, frames: DataFrame, columns: tuple[str, ...] = ("mag_cali_trans", "mag_cali_no_trans"), instrument: str = "mags_fit", *, plenty: int = PLENTY) -> DataFrame:
     """One row for each non-null reading of each of ``columns``: its score and which rules it breaks (``SCORED``)."""
     any_value = F.coalesce(*columns).isNotNull()
     rows = photometry.where(any_value & F.col("object_id").isNotNull() & F.col("image_id").isNotNull()).select("image_id", "object_id", "filter_name", F.col(instrument).alias("fit"), *columns)
+    # A table of n readings has fewer than MOST_PLENTIFUL sources of more than n / MOST_PLENTIFUL: the keys are a bounded list.
+    counts = rows.groupBy("object_id", "filter_name").agg(F.count("*").alias("readings"))
+    bound = max(plenty, (rows.count() // MOST_PLENTIFUL))
+    plentiful = counts.where(F.col("readings") > bound).collect()
     # Without a time, each image is its own night: only the limits can speak.
     night = F.coalesce(F.floor("jd"), -F.col("image_id").cast("long")).cast("long")
     timed = rows.join(image_times(frames), "image_id", "left").withColumn("night", night)
-    laid = timed.repartition("object_id", "filter_name", "night").sortWithinPartitions("object_id", "night", "filter_name", "jd", "image_id")
-    return laid.drop("jd").mapInPandas(_work(list(columns)), SCORED)
+    keys = ["object_id", "filter_name"]
+    if not plentiful:
+        parted = timed.withColumns({"part": F.lit(0).cast("long"), "sample": F.lit(None).cast("array<struct<field:int,row:binary>>")})
+    else:
+        known = photometry.sparkSession.createDataFrame([(r["object_id"], r["filter_name"], r["readings"]) for r in plentiful], "_o long, _f string, readings long")
+        timed = timed.join(F.broadcast(known), F.col("object_id").eqNullSafe(F.col("_o")) & F.col("filter_name").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
+        parted = timed.withColumn("part", F.when(F.col("readings").isNotNull(), F.col("night")).otherwise(0))
+        spread = parted.where("readings IS NOT NULL")
+        laid = spread.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "jd", "image_id")
+        sampled = laid.mapInPandas(_sampled(list(columns)), "object_id long, filter_name string, field int, row binary")
+        sample = sampled.groupBy(*keys).agg(F.collect_list(F.struct("field", "row")).alias("sample")).withColumnsRenamed({k: f"_{k}" for k in keys})
+        heads = spread.select(*keys, "part").distinct().join(sample, F.col("object_id").eqNullSafe(F.col("_object_id")) & F.col("filter_name").eqNullSafe(F.col("_filter_name")))
+        parted = parted.drop("readings").unionByName(heads.select(*keys, "part", "sample"), allowMissingColumns=True)
+    laid = parted.repartition(*keys, "part").sortWithinPartitions(*keys, "part", F.col("sample").isNull(), "night", "jd", "image_id")
+    return laid.mapInPandas(_work(list(columns)), SCORED)
 
 
 def spikes_found(photometry: DataFrame, frames: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import numpy as np
 
-from photoloom.operators.spikes import score_readings, score_series, spikes_found
+from photoloom.operators import spikes
+from photoloom.operators.spikes import score_readings, score_sources, spikes_found
 
 PHOT = "image_id int, object_id long, filter_name string, mags_fit double, mag_cali_trans double, mag_cali_no_trans double, extra string"
 
@@ -42,20 +43,74 @@ def test_nulls_small_series_and_empty(spark):
     assert score_readings(photometry, frames.limit(0)).count() == 4
 
 
-def test_series_split_over_batches_score_alike(spark):
-    rows = [(i, o, *r[2:]) for o in range(40) for i, r in enumerate(star(seed=o))]
+def scores(spark, rows, **how):
+    return {(r.image_id, r.object_id, r.field_name): (round(r.score, 9), r.spike, r.stuck, r.impossible) for r in score_readings(*tables(spark, rows), **how).collect()}
+
+
+def test_scores_do_not_depend_on_batches(spark):
+    rows = [(i, o, *r[2:]) for o in range(40) for i, r in enumerate(star(seed=o, at=lambda i: 0.4 * (i == 33)))]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
     try:
-        small = found(spark, rows)
+        small = scores(spark, rows)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    assert small == found(spark, rows)
-
-
-def test_a_large_series_is_scored_on_a_subsample():
+    assert small == scores(spark, rows)
+    assert len(small) == 40 * 60 * 2 and all(0 < s[0] < 1 for s in small.values())
+
+
+def many_nights(nights=12, n=300, seed=3):
+    """A source with nights of very different length, a faulty reading in each."""
+    rng, rows, frames, image = np.random.default_rng(seed), [], [], 0
+    for k in range(nights):
+        for i in range(n // (1 + k % 3)):
+            v = 13 + 0.2 * np.sin(i / 40) + 0.01 * rng.standard_normal() + 0.3 * (i == 50)
+            frames.append((image, 2450000.2 + k + i / 3000, None, "x"))
+            rows.append((image, 1, "V", float(v - 24 - 0.3 * (i == 50) + 0.01 * rng.standard_normal()), float(v), None, "e"))
+            image += 1
+    return rows, frames
+
+
+def test_a_source_spread_over_its_nights_finds_the_same(spark):
+    rows, frames = many_nights()
+    p, f = spark.createDataFrame(rows, PHOT), spark.createDataFrame(frames, "image_id int, jd double, date_obs timestamp, extra string")
+    whole, parts = (score_readings(p, f, plenty=k).toPandas().set_index("image_id").sort_index() for k in (20_000, 500))
+    assert len(whole) == len(parts) == len(rows)
+    assert whole.index[whole.spike].tolist() == parts.index[parts.spike].tolist() and whole.spike.sum() == 12
+    assert abs(whole.score - parts.score).mean() < 0.05 and np.corrcoef(whole.score, parts.score)[0, 1] > 0.9
+    # Parts of a source share one forest: the scores of equal parts are equal, whatever else is in the table.
+    again = score_readings(p.union(p.withColumn("object_id", p.object_id + 1)), f, plenty=500).where("object_id = 1").toPandas().set_index("image_id").sort_index()
+    assert (again.score == parts.score).all()
+
+
+def test_the_forest_decides(spark, monkeypatch):
+    """A source that flickers between levels, further than the exact check asks for: what is usual for it is no case."""
+    rng = np.random.default_rng(5)
+    restless = [(i, 7, "V", None, float(v), None, "e") for i, v in enumerate(14 + 0.01 * rng.standard_normal(60) + np.where(rng.random(60) < 0.3, 0.12 * rng.choice([-1, 1], 60), 0.0))]
+    quiet = star()
+    quiet[10] = (*quiet[10][:4], quiet[10][4] + 0.5, *quiet[10][5:])
+    rows = [*restless, *((i, 8, *r[2:]) for i, r in enumerate(quiet))]
+    with_forest = {k for k in found(spark, rows) if k[1] == 7}
+    assert (10, 8, "mag_cali_trans") in found(spark, rows)
+    monkeypatch.setattr(spikes, "OUTSTANDING", -1e9)
+    everything = {k for k in scores_off(rows) if k[1] == 7}
+    assert with_forest < everything and len(everything) > len(with_forest) + 2
+
+
+def scores_off(rows):
+    """The rows found in this process, where a changed threshold is seen."""
+    import pandas as pd
+
+    pdf = pd.DataFrame(rows, columns=["image_id", "object_id", "filter_name", "fit", "mag_cali_trans", "mag_cali_no_trans", "extra"]).drop_duplicates()
+    pdf = pdf.assign(jd=2450000.1 + pdf.image_id / 500, night=2450000, part=0).sort_values(["object_id", "image_id"])
+    got = pd.concat(spikes._work(["mag_cali_trans", "mag_cali_no_trans"])([pdf]))
+    return {(r.image_id, r.object_id, r.field_name) for r in got[got.spike].itertuples()}
+
+
+def test_a_large_source_is_learned_from_a_subsample():
     rng = np.random.default_rng(1)
     v = 12 + 0.01 * rng.standard_normal(5000)
     v[777] += 1.0
-    got = score_series(v, np.full(5000, np.nan), np.zeros(5000))
+    zero = np.zeros(5000, int)
+    got = score_sources(v, np.full(5000, np.nan), zero, zero, zero, np.array([5]), np.arange(5000))
     assert got["spike"].nonzero()[0].tolist() == [777]
     assert got["score"][777] == got["score"].max()
