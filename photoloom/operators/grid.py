@@ -71,3 +71,13 @@ def light_curve_grid(photometry: DataFrame, frames: DataFrame, value: str = "mag
 def gaps_found(photometry: DataFrame, frames: DataFrame) -> DataFrame:
     """object_id, filter_name, slot of every cell without a reading between the first and the last of its night."""
     return light_curve_grid(photometry, frames).where("missing").select("object_id", "filter_name", "slot")
+
+
+def exposure_odometer_grid(frames: DataFrame, rolls_at: float = 1000.0) -> DataFrame:
+    """Exposure seconds of each object on the regular grid, from an odometer that adds up the seconds of the night's frames and
+    starts again whenever it passes ``rolls_at``: a cumulative counter with resets, read at uneven times."""
+    f = frames.where("image_id IS NOT NULL AND object_name IS NOT NULL AND exptime IS NOT NULL").groupBy("image_id").agg(F.min("object_name").alias("object_name"), F.min("exptime").alias("exptime"))
+    f = f.join(image_times(frames), "image_id").where("jd IS NOT NULL")
+    so_far = F.sum("exptime").over(W.partitionBy("object_name", F.floor("jd")).orderBy("jd", "image_id").rowsBetween(W.unboundedPreceding, 0))
+    f = f.withColumn("odometer", F.pmod(so_far, F.lit(rolls_at)))
+    return regular_grid(f, ["object_name"], "jd", "exptime", counter="odometer")

@@ -176,14 +176,19 @@ def harmonise_angles(calib: DataFrame, catalogues: DataFrame | None = None, *, k
         for k, u in zip(sources, (F.col(f"_{a}_text_mark"), canonical_unit(F.col(f"{a}_unit")), _said(F.col("_remark"), a), canonical_unit(F.col(f"_cat_{a}_unit")), _said(F.col("_note"), a)), strict=True)
     })
     df = df.withColumns({f"_{a}_said": F.coalesce(*(F.col(f"_{a}_{k}") for k in sources)) for a in ("ra", "dec")} | {f"_{a}_from": F.coalesce(*(F.when(F.col(f"_{a}_{k}").isNotNull(), F.lit(k)) for k in sources)) for a in ("ra", "dec")})
+    # The texts are read once; the bins of the mixture and the answer both go on from what was read.
+    df = cut(df.select(*calib.columns, *(f"_{a}_{k}" for a in ("ra", "dec") for k in ("text_value", "said", "from"))))
     name = F.coalesce(F.col(catalogue), F.lit(""))
-    both = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"_{a}_text_value").alias("value"), F.col(f"_{a}_said").alias("stated")) for a in ("ra", "dec")))
-    long = df.select(name.alias("catalogue"), F.inline(both))
-    guesses = infer_units(long)
+    missing = {a: F.col(f"_{a}_said").isNull() & F.col(f"_{a}_text_value").isNotNull() for a in ("ra", "dec")}
+    if df.where(missing["ra"] | missing["dec"]).isEmpty():
+        df = df.withColumns({f"_{a}_{k}": F.lit(None).cast(t) for a in ("ra", "dec") for k, t in (("inferred", "string"), ("post", "double"))})
+    else:
+        both = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"_{a}_text_value").alias("value"), F.col(f"_{a}_said").alias("stated")) for a in ("ra", "dec")))
+        guesses = infer_units(df.select(name.alias("catalogue"), F.inline(both)))
+        for a in ("ra", "dec"):
+            g = guesses.where(F.col("axis") == a).select(F.col("catalogue").alias("_g_cat"), F.col("bin").alias("_g_bin"), F.col("inferred").alias(f"_{a}_inferred"), F.col("posterior").alias(f"_{a}_post"))
+            df = df.join(g, missing[a] & (name == F.col("_g_cat")) & (_bin(F.col(f"_{a}_text_value")) == F.col("_g_bin")), "left").drop("_g_cat", "_g_bin")
     for a in ("ra", "dec"):
-        g = guesses.where(F.col("axis") == a).select(F.col("catalogue").alias("_g_cat"), F.col("bin").alias("_g_bin"), F.col("inferred").alias(f"_{a}_inferred"), F.col("posterior").alias(f"_{a}_post"))
-        missing = F.col(f"_{a}_said").isNull() & F.col(f"_{a}_text_value").isNotNull()
-        df = df.join(g, missing & (name == F.col("_g_cat")) & (_bin(F.col(f"_{a}_text_value")) == F.col("_g_bin")), "left").drop("_g_cat", "_g_bin")
         unit = F.coalesce(F.col(f"_{a}_said"), F.col(f"_{a}_inferred"))
         seen = F.col(f"_{a}_text_value").isNotNull()
         posterior = F.when(F.col(f"_{a}_said").isNotNull(), 1.0).otherwise(F.col(f"_{a}_post"))
@@ -200,7 +205,19 @@ def harmonise_angles(calib: DataFrame, catalogues: DataFrame | None = None, *, k
 def positions_found(calib: DataFrame, catalogues: DataFrame | None = None) -> DataFrame:
     """cal_id, ra_arcsec, dec_arcsec of every star with two readable, possible coordinates. One row for each cal_id; of
     repeated rows that disagree, the smallest position counts."""
-    d = harmonise_angles(calib, catalogues)
+    d = harmonise_angles(calib.select("cal_id", "catalog_code", "ra_text", "dec_text", "ra_unit", "dec_unit", "remark"), catalogues)
     possible = F.col("cal_id").isNotNull() & (F.col("ra_deg") >= 0) & (F.col("ra_deg") < 360) & (F.abs("dec_deg") <= 90)
     spot = F.struct(F.round(F.col("ra_deg") * 3600).cast("long").alias("ra_arcsec"), F.round(F.col("dec_deg") * 3600).cast("long").alias("dec_arcsec"))
     return d.where(possible).groupBy("cal_id").agg(F.min(spot).alias("p")).select("cal_id", "p.ra_arcsec", "p.dec_arcsec")
+
+
+def units_inferred(calib: DataFrame, catalogues: DataFrame | None = None) -> DataFrame:
+    """The mixture on its own: every row beside a copy that is robbed of all that states its unit outside the text, under a
+    catalogue of its own. For the copies whose texts have no marks: cal_id, axis, unit (inferred), posterior, uncertain, stated."""
+    rows = calib.select("cal_id", "catalog_code", "ra_text", "dec_text", "ra_unit", "dec_unit", "remark").distinct()
+    nothing = F.lit(None).cast("string")
+    robbed = rows.withColumns({"catalog_code": F.concat(F.coalesce("catalog_code", F.lit("")), F.lit(" (robbed)")), "ra_unit": nothing, "dec_unit": nothing, "remark": nothing})
+    d = harmonise_angles(rows.withColumn("copy", F.lit(False)).union(robbed.withColumn("copy", F.lit(True))), catalogues)
+    known = d.where("NOT copy").groupBy("cal_id").agg(*(F.min(f"{a}_used").alias(f"{a}_stated") for a in ("ra", "dec")))
+    axes = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}_unit_from").alias("unit_from"), F.col(f"{a}_used").alias("unit"), F.col(f"{a}_posterior").alias("posterior"), F.col(f"{a}_uncertain").alias("uncertain"), F.col(f"{a}_stated").alias("stated")) for a in ("ra", "dec")))
+    return d.where("copy").join(known, "cal_id").select("cal_id", F.inline(axes)).where("unit_from = 'inferred'").drop("unit_from").distinct()

@@ -11,6 +11,8 @@ from photoloom.plans import problems, reference
 from tests.oracle import compare, connect
 
 NAMES = [*reference.QUERIES, *problems.QUERIES]
+#: Queries that SQL does not express, and the tests that compare them with brute force or planted cases.
+ELSEWHERE = {"p1_found": "test_units", "p1_inferred": "test_units", "p2_found": "test_spikes", "p2_scores": "test_spikes", "mc_samples": "test_whole", "mc_arithmetic": "test_whole"}
 
 
 @pytest.fixture(scope="module")
@@ -24,8 +26,8 @@ def test_query(spark, sf, duck, name):
     if sql:
         assert compare(spark, duck, sf, query, sql) == ""
     else:
-        df = query(spark, sf)
-        assert df.columns and df.count() >= 0
+        assert name in ELSEWHERE and (Path(__file__).parent / f"{ELSEWHERE[name]}.py").exists()
+        assert query(spark, sf).count() > 0
 
 
 def test_entry(spark):

@@ -1,4 +1,4 @@
-from photoloom.operators.units import harmonise_angles, positions_found
+from photoloom.operators.units import harmonise_angles, positions_found, units_inferred
 
 SCHEMA = "cal_id long, catalog_code string, ra_text string, dec_text string, ra_unit string, dec_unit string, remark string, extra string"
 INFO = "catalog_code string, title string, ra_unit string, dec_unit string, note string"
@@ -59,3 +59,11 @@ def test_missing_units_are_inferred(spark):
     right = [r.ra_used == r.catalog_code.split()[1] for r in out]
     assert sum(right) > 0.98 * len(out)
     assert all(r.ra_posterior >= 0.9 or r.ra_uncertain for r in out)
+
+
+def test_robbed_rows_of_the_given_tables_are_mostly_right(spark, sf):
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("calib", "catalog_info")]
+    out = units_inferred(*tables).collect()
+    sure = [r for r in out if not r.uncertain]
+    assert len(out) > 50 and len(sure) > 20
+    assert sum(r.unit == r.stated for r in sure) >= 0.9 * len(sure)
