@@ -1,29 +1,33 @@
 """Per-document text quality statistics, and a classifier of prose against lists, tables and junk (problem 8).
 
-``text_statistics`` computes the statistics with built-in expressions, inside the JVM.  ``train`` fits gradient-boosted trees to
-weakly labelled documents: rules label only what is plainly prose or plainly structure, the trees learn the rest.  The scores are
-calibrated (a logistic curve on the trees' margin) on a holdout of documents that were read and labelled by hand
-(``photoloom.llm.holdout``).  Training uses a bounded sample (``SAMPLE`` rows by hash, a parameter); the statistics and scores
-cover every document.
+``text_statistics`` reads every text once, in Arrow batches: characters are classified by table look-up and all counts are sums
+over blocks of texts (``photoloom.llm.textstats``).  ``train`` fits gradient-boosted trees to weakly labelled documents.  A weak
+label is given only where independent kinds of evidence (layout, vocabulary, form of words, ends of lines) agree; where they do
+not, it stays open, and the trees decide.  Each tree sees a third of the statistics, so that documents with a mixture of evidence
+that no labelled one has are judged by all of it.  The probabilities are calibrated (a logistic curve on the trees' margin) on a
+holdout of texts that were read and labelled by hand (``photoloom.llm.holdout``) and are left out of the training.  Training uses
+a bounded sample (``SAMPLE`` rows by hash, a parameter); statistics, labels and scores cover every document.
 
 Defined results
 ---------------
 * null, empty and blank texts: statistics null, probability null, no case.
 * soft hyphens are ignored, any line end counts, any run of white space parts words; texts are read whole, whatever their length.
 * ties and repeated rows: every row is judged alone; equal texts have equal results. An empty table gives an empty result.
-* a corpus without plain examples of both kinds is judged by the model of the hand-checked holdout alone.
+* a corpus without plain examples of one of the kinds trains no trees; the margin is then the balance of the evidence, calibrated
+  in the same way.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from photoloom.llm.textstats import STATISTICS, CommonWords, content_hash, statistics
 from photoloom.llm.trees import Boosted, fit_boosted
 from photoloom.session import cut
 
@@ -31,119 +35,86 @@ from photoloom.session import cut
 SAMPLE = 20_000
 #: A document is a case from this probability.
 CASE = 0.5
+#: The list of common words is a fixed table; it is sent to every task, so its size is checked.
+MOST_COMMON = 1_000_000
 
-STATISTICS = [
-    "word_count", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "line_count", "line_length",
-    "listed_share", "gapped_share", "single_share", "numeric_share", "capital_share", "plain_share", "broken_share", "vowel_ratio", "longest_word",
-]
 
-_LISTED = r"^\s*(?:[-*•·–—>]\s|\(?\d{1,4}[.):]?\s|\(?[a-zA-Z][.)]\s|[IVX]+\.\s)"
-_GAPPED = r"\t|\|.*\||;.*;|\S {3,}\S|\.{4,}|[-=_~+]{3,}|\d, ?\d+, ?\d|[<>{}].*[<>{}]"
+def evidence(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many kinds of evidence, of four each, speak for structure and for prose (rows of ``STATISTICS``; NaN speaks for nothing)."""
+    c = dict(zip(STATISTICS, x.T, strict=True))
+    with np.errstate(invalid="ignore"):
+        layout = np.fmax(c["listed_share"], c["gapped_share"])
+        structure = [layout > 0.8, (c["common_words"] < 0.05) & (c["word_count"] >= 20), c["plain_share"] < 0.4, (c["line_count"] >= 5) & (c["line_length"] < 25) & (c["punctuated_lines"] < 0.1)]
+        prose = [layout < 0.1, c["common_words"] > 0.2, c["plain_share"] > 0.85, c["punctuated_lines"] > 0.5]
+    return np.sum(structure, axis=0), np.sum(prose, axis=0)
 
 
-def _any_word(words: list[str]) -> str:
-    """A pattern of whole words, sorted by first letter, so that few alternatives are tried at each place."""
-    by_first: dict[str, list[str]] = {}
-    for w in sorted({w for w in words if len(w) > 1}, key=lambda w: (-len(w), w)):
-        by_first.setdefault(w[0], []).append(re.escape(w[1:]))
-    return r"(?<![\p{L}\p{M}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in by_first.items()) + r")(?![\p{L}\p{M}])" if by_first else r"(?!)"
+def weak_label(x: np.ndarray) -> np.ndarray:
+    """1 where two kinds of evidence speak for structure and at most one for prose, 0 where three speak for prose and none for
+    structure, else -1 (open)."""
+    s, p = evidence(x)
+    return np.where((s >= 2) & (p <= 1), 1, np.where((p >= 3) & (s == 0), 0, -1))
 
 
-def text_statistics(documents: DataFrame, common: list[str], *, text: str = "text") -> DataFrame:
-    """``documents`` with the columns ``STATISTICS``.
+def text_statistics(documents: DataFrame, common: CommonWords, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, content (a hash of the text), the columns ``STATISTICS`` and weak (-1 for open, null for a blank text).
 
     word_count, mean_word_length (characters), symbol_ratio and digit_ratio (of all but white space), punctuated_lines (share of
     lines that end as sentences do), common_words (share of words in ``common``), line_count, line_length (median, characters),
     listed_share and gapped_share (share of the text in lines that begin like list items, or are parted like table rows),
-    single_share (words of one character), numeric_share (words with digits), capital_share (words with a capital first),
-    plain_share (words of letters, but for punctuation at their ends), broken_share (symbols within words, and symbols that prose
-    does not have, for each word), vowel_ratio, longest_word.
+    single_share (words of one character), numeric_share (words with digits), capital_share (words whose first letter is a
+    capital), plain_share (words of letters, but for punctuation at their ends), broken_share (symbols within words, and symbols
+    that prose does not have, for each word), vowel_ratio, longest_word.
     """
-    t = F.regexp_replace(F.col(text), "­", "")
-    df = documents.withColumn("_t", F.when(F.regexp_like(F.col(text), F.lit(r"[^\s\p{Z}\p{C}]")), t))
-    df = df.withColumns({"_lower": F.lower("_t"), "_w": F.split(F.trim(F.regexp_replace("_t", r"[\s\p{Z}]+", " ")), " "), "_l": F.filter(F.split("_t", r"\R"), lambda x: F.trim(x) != "")})
-    solid = F.regexp_replace("_t", r"[\s\p{Z}]+", "")
-    df = df.withColumns({"_solid": F.length(solid), "_text": F.length(F.array_join("_l", "")), "_letters": F.length(F.regexp_replace(solid, r"[^\p{L}]+", ""))})
-    n, lines, size = F.greatest(F.size("_w"), F.lit(1)), F.greatest(F.size("_l"), F.lit(1)), F.greatest(F.col("_solid"), F.lit(1))
-
-    def words(pattern: str, of: str = "_t") -> Column:
-        return F.regexp_count(of, F.lit(pattern)) / n
-
-    def share(pattern: str) -> Column:
-        return F.aggregate(F.filter("_l", lambda x: x.rlike(pattern)), F.lit(0), lambda a, x: a + F.length(x)) / F.greatest(F.col("_text"), F.lit(1))
-
-    have = F.col("_t").isNotNull()
-    stats = {
-        "word_count": F.size("_w"),
-        "mean_word_length": F.col("_solid") / n,
-        "symbol_ratio": F.length(F.regexp_replace("_t", r"[\p{L}\p{M}\p{N}\s\p{Z}]+", "")) / size,
-        "digit_ratio": F.length(F.regexp_replace("_t", r"\P{N}+", "")) / size,
-        "punctuated_lines": F.size(F.filter("_l", lambda x: x.rlike(r"[.!?:…]['\"”’»)\]–—]*\s*$"))) / lines,
-        "common_words": words(_any_word(common), "_lower"),
-        "line_count": F.size("_l"),
-        "line_length": F.element_at(F.array_sort(F.transform("_l", lambda x: F.length(x))), F.floor(F.size("_l") / 2).cast("int") + 1),
-        "listed_share": share(_LISTED),
-        "gapped_share": share(_GAPPED),
-        "single_share": words(r"(?<!\S)\S(?!\S)"),
-        "numeric_share": words(r"(?<!\S)[^\s\d]*+\d"),
-        "capital_share": words(r"(?<!\S)[^\p{L}\s]*+\p{Lu}"),
-        "plain_share": words(r"(?<!\S)[(\[\"'„“«–—-]*+[\p{L}\p{M}]++(?:['’-][\p{L}\p{M}]++)*+[.,;:!?)\]\"'”“»…–—-]*+(?!\S)"),
-        "broken_share": words(r"[\p{L}\p{N}][<>{}|\\^~$&#%*@=+!?;,\[\]/()\"_]+(?=[\p{L}])|[<>{}|\\^~$&#%*@=+]"),
-        "vowel_ratio": F.length(F.regexp_replace("_lower", r"[^aeiouyäöüàâéèêëîïôùûœøåæ]+", "")) / F.greatest(F.col("_letters"), F.lit(1)),
-        "longest_word": F.array_max(F.transform("_w", lambda w: F.length(w))),
-    }
-    return df.withColumns({k: F.when(have, v.cast("double")) for k, v in stats.items()}).drop("_t", "_lower", "_w", "_l", "_solid", "_text", "_letters")
-
-
-def weak_label() -> Column:
-    """1 for plain structure or junk, 0 for plain prose, null where the rules do not speak."""
-    c = F.col
-    structured = (c("listed_share") > 0.7) | (c("gapped_share") > 0.7) | (c("numeric_share") > 0.45) | (c("broken_share") > 0.4) | (c("mean_word_length") > 14) | ((c("word_count") >= 15) & (c("common_words") < 0.03)) | ((c("line_count") >= 8) & (c("line_length") < 40) & (c("punctuated_lines") < 0.1) & (c("common_words") < 0.12))
-    running = (c("common_words") > 0.18) & (c("plain_share") > 0.8) & (c("capital_share") < 0.6) & ((c("line_count") <= 3) | (c("line_length") > 30))
-    spoken = (c("common_words") > 0.27) | running
-    formula = (c("line_count") <= 3) & (c("word_count") < 40) & (c("common_words") >= 0.09) & (c("plain_share") > 0.75) & (c("punctuated_lines") > 0.6)
-    prose = (spoken & (c("gapped_share") < 0.2) & (c("listed_share") < 0.2) & (c("broken_share") < 0.1) & (c("numeric_share") < 0.15)) | formula
-    plain = (structured & (c("common_words") < 0.15)) | (c("broken_share") > 0.3) | (c("symbol_ratio") > 0.25) | (c("mean_word_length") > 12) | ((c("numeric_share") > 0.2) & (c("punctuated_lines") < 0.2) & (c("line_count") >= 5))
-    return F.when(plain, 1).when(prose & ~structured, 0)
-
-
-def train(stats: DataFrame, *, key: str = "doc_id", sample: int = SAMPLE) -> Boosted:
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            x = statistics(texts, common)
+            blank = np.isnan(x[:, 0])
+            columns = [batch.column(0), pa.array([None if t is None else content_hash(t) for t in texts], pa.int64())]
+            columns += [pa.array(x[:, k], mask=blank) for k in range(len(STATISTICS))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(weak_label(x).astype(np.int32), mask=blank)], [key, "content", *STATISTICS, "weak"])
+
+    kind = dict(documents.dtypes)[key]
+    return documents.select(key, text).mapInArrow(work, f"`{key}` {kind}, content long, {', '.join(f'{s} double' for s in STATISTICS)}, weak int")
+
+
+def evidence_margin(x: np.ndarray) -> np.ndarray:
+    """The balance of the evidence, for a corpus that trains no trees."""
+    s, p = evidence(x)
+    return (s - p).astype(float)
+
+
+def train(stats: DataFrame, common: CommonWords, *, key: str = "doc_id", sample: int = SAMPLE) -> Boosted:
     """Trees on a bounded sample of weakly labelled rows of ``stats``, calibrated on the hand-checked holdout."""
     from photoloom.llm.holdout import HOLDOUT
 
-    labelled = stats.withColumn("label", weak_label()).where("label IS NOT NULL")
+    held = statistics([t for _, t in HOLDOUT], common)
+    truth = np.array([y for y, _ in HOLDOUT], dtype=float)
+    labelled = stats.where((F.col("weak") >= 0) & ~F.col("content").isin([content_hash(t) for _, t in HOLDOUT]))
     # The same share of each kind, taken by hash: the sample's size is bounded, its choice does not depend on the layout.
-    totals = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    totals = {r["weak"]: r["n"] for r in labelled.groupBy("weak").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return Boosted(0.0, start=evidence_margin).calibrated(held, truth)
     spot = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1_000_000)) / 1e6
     keep = F.lit(False)
     for label, n in totals.items():
-        keep = keep | ((F.col("label") == label) & (spot < 0.9 * sample / 2 / n))
-    rows = labelled.where(keep).select(*STATISTICS, "label").limit(sample).toPandas()
-    x, y = rows[STATISTICS].to_numpy(float), rows["label"].to_numpy(float)
-    held = np.array([h[:-1] for h in HOLDOUT], dtype=float)
-    truth = np.array([h[-1] for h in HOLDOUT], dtype=float)
-    if len(np.unique(y)) < 2:
-        x, y = held, truth
-    return fit_boosted(x, y).calibrated(held, truth)
-
-
-def score(stats: DataFrame, model: Boosted, *, key: str = "doc_id") -> DataFrame:
-    """``key``, probability that a document is for the most part list, table or junk (null for blank texts)."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[STATISTICS].to_numpy(float)
-            yield pd.DataFrame({key: pdf[key], "probability": np.where(np.isnan(x[:, 0]), np.nan, model.probability(np.nan_to_num(x)))})
-
-    return stats.select(key, *STATISTICS).mapInPandas(work, f"`{key}` {dict(stats.dtypes)[key]}, probability double")
+        keep = keep | ((F.col("weak") == label) & (spot < 0.9 * sample / 2 / n))
+    rows = labelled.where(keep).select(*STATISTICS, "weak").limit(sample).toPandas()
+    x, y = rows[STATISTICS].to_numpy(float), rows["weak"].to_numpy(float)
+    order = np.lexsort((*x.T, y))
+    return fit_boosted(x[order], y[order], trees=100, rate=0.1, share=0.35).calibrated(held, truth)
 
 
 def text_quality(documents: DataFrame, common_words: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, the statistics and the probability of each document."""
-    # A fixed table of some hundred words.
-    common = [r[0] for r in common_words.where("word IS NOT NULL").select(F.lower("word")).distinct().limit(10_000).collect()]
-    stats = cut(text_statistics(documents.select(key, text), common, text=text).drop(text))
-    model = train(stats, key=key)
+    """``key``, the statistics and the probability that the document is for the most part list, table or junk."""
+    words = common_words.where("word IS NOT NULL").select(F.lower("word").alias("word")).distinct()
+    if (n := words.count()) > MOST_COMMON:
+        raise ValueError(f"{n} common words; a list of more than {MOST_COMMON} is no list of common words")
+    common = CommonWords([r["word"] for r in words.collect()])
+    stats = cut(text_statistics(documents, common, key=key, text=text))
+    model = train(stats, common, key=key)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,7 +122,8 @@ def text_quality(documents: DataFrame, common_words: DataFrame, *, key: str = "d
             yield pdf.assign(probability=np.where(np.isnan(x[:, 0]), np.nan, model.probability(np.nan_to_num(x))))
 
     kinds = dict(stats.dtypes)
-    return stats.mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in stats.columns) + ", probability double")
+    kept = [key, *STATISTICS]
+    return stats.select(*kept).mapInPandas(work, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", probability double")
 
 
 def structure_found(documents: DataFrame, common_words: DataFrame) -> DataFrame:
