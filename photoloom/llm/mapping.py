@@ -1,10 +1,13 @@
 """Mapping free-entered values to a canonical list (problem 4): token-level repair, then soft TF-IDF over whole entries.
 
 1. Each *distinct* value is cut into pieces: at anything that is no letter or digit, where a small letter meets a capital, and
-   where a word meets a number.  Runs of up to three pieces, written together, are its grams ("HX  9" has "hx9").
+   where a word meets a number.  Runs of pieces, written together, are its grams ("HX  9" has "hx9"), up to the length of the longest
+   word in the vocabulary and the edits it may have suffered: longer ones cannot match.
 2. The vocabulary has the words of all names in the list (canonical names and other names) and runs of neighbouring words
-   written together ("lightframe").  Distinct grams join it on deletion neighbourhoods (two strings within two edits share a
-   string that each becomes by at most two deletions), and the exact edit distance, with swaps as one edit, decides.
+   written together ("lightframe"), and abbreviations: the first letter and consonants of a word in their order, from three of
+   them up to half the word ("bkg" for background).  Distinct grams join it on deletion neighbourhoods (two strings within two
+   edits share a string that each becomes by at most two deletions; the strings are joined by their hashes, so a key has one
+   size whatever the length of a word), and the exact edit distance, with swaps as one edit, decides.
    Digits are never repaired: a model number is right or it is another model.
 3. The best cover of a value by repaired grams gives its corrected tokens; soft TF-IDF cosines rank the names.  A name that has a
    number, none of which the value shows, is out when the value shows another number.  Two entries with equal scores: no entry.
@@ -17,13 +20,14 @@ Defined results
 * null or blank values and values equal to a canonical name of their field are not mapped (no row).
 * a value in which nothing is recognised gets ref_id 0; so does one that fits two entries equally well.
 * repeated rows of an image count once (of differing values of one image, the entry of the largest value counts).
-* empty tables give an empty result; an empty list maps every value to 0. Values of any length are cut into at most MAX_PIECES
-  pieces from which repairs start; longer ones are no names and get 0.
+* empty tables give an empty result; an empty list maps every value to 0. Values and names may have any length and any number of
+  pieces.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,12 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from photoloom.session import cut
+
 #: Least cosine of a mapping. A single word of a name of three equally telling words has 0.58, one of four has 0.5.
 LEAST = 0.52
-#: Pieces of a value, and words of a name, that are written together at most; pieces of a value at most.
-RUN, NAME_RUN, MAX_PIECES = 3, 6, 24
-#: Longest gram that is repaired, and edits at most.
-LONGEST, EDITS = 32, 2
+#: Edits of a word at most.
+EDITS = 2
+#: What each gram of a cover, and each repaired one, costs in letters: of covers that explain as much, the one of fewer and of
+#: exact grams is taken. Both costs are below half a letter, so they never outweigh a letter that is explained.
+GRAM_COST, REPAIR_COST = 0.1, 0.3
 
 
 def pieces(value: str) -> list[str]:
@@ -99,20 +106,35 @@ def similarity(gram: str, word: str) -> float:
     return 1 - d / len(word) / 2
 
 
-def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for f, v in zip(pdf["field_name"], pdf["value"], strict=True):
-            p = pieces(v)
-            if len(p) <= MAX_PIECES:
-                out += [(f, v, i, n, "".join(p[i : i + n])) for i in range(len(p)) for n in range(1, min(RUN, len(p) - i) + 1)]
-        yield pd.DataFrame(out, columns=["field_name", "value", "start", "run", "gram"])
+def _grams(longest: int):
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for f, v in zip(pdf["field_name"], pdf["value"], strict=True):
+                p = pieces(v)
+                for i in range(len(p)):
+                    gram = ""
+                    for n, piece in enumerate(p[i:], 1):
+                        gram += piece
+                        # A key that hung may have stretched a word; written once, its letters must fit.
+                        if len(gram) > longest and len(squeeze(gram)) > longest:
+                            break
+                        out.append((f, v, i, n, gram))
+            yield pd.DataFrame(out, columns=["field_name", "value", "start", "run", "gram"])
+
+    return grams
 
 
 def _keys(name: str):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(f, w, k) for f, w in zip(pdf["field_name"], pdf[name], strict=True) if len(w) <= LONGEST for k in deletions(w, EDITS) | deletions(squeeze(w), EDITS)]
+            out = []
+            for f, w in zip(pdf["field_name"], pdf[name], strict=True):
+                own = squeeze(w)
+                variants = deletions(own, EDITS) | {w}
+                if len(w) <= len(own) + 2 * EDITS:
+                    variants |= deletions(w, EDITS)
+                out += [(f, w, k) for k in {zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in variants}]
             yield pd.DataFrame(out, columns=["field_name", name, "key"])
 
     return keys
@@ -137,7 +159,7 @@ def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i in range(len(p) - 1, -1, -1):
                 best[i] = best[i + 1]
                 for n, sim, word, parts in sorted(at.get(i, []), key=lambda x: (x[0], -x[1], x[2])):
-                    gain = sim * sum(map(len, p[i : i + n])) - 0.1 - 0.3 * (sim < 1)
+                    gain = sim * sum(map(len, p[i : i + n])) - GRAM_COST - REPAIR_COST * (sim < 1)
                     if gain + best[i + n][0] > best[i][0] + 1e-9:
                         best[i] = (gain + best[i + n][0], [(i, n, sim, parts), *best[i + n][1]])
             taken = {k for i, n, _, _ in best[0][1] for k in range(i, i + n)}
@@ -158,14 +180,17 @@ def names_of(ref_values: DataFrame) -> DataFrame:
 
 
 def vocabulary(names: DataFrame) -> DataFrame:
-    """field_name, word, parts: the words of names and runs of neighbouring words written together. A word of eight letters or
-    more may also be abbreviated to its first three consonants (bkg for background)."""
+    """field_name, word, parts: the words of names and runs of neighbouring words written together, each word in full or, in a
+    run of its own spelling, abbreviated."""
     bones = lambda w: F.concat(F.substring(w, 1, 1), F.regexp_replace(F.regexp_replace(F.substr(w, F.lit(2)), "ck", "k"), "[aeiouyäöü]", ""))
-    short = F.transform("words", lambda w: F.when((F.length(w) >= 8) & ~w.rlike(r"\d"), F.substring(bones(w), 1, 3)).otherwise(w))
-    spelled = names.where(F.size("words") > 0).select("field_name", "words", F.explode(F.array_distinct(F.array(F.col("words"), short))).alias("as"))
+    most = F.array_max(F.transform("words", lambda w: F.length(w)))
+    cut_to = F.explode(F.sequence(F.lit(2).cast("int"), F.greatest(F.floor(most / 2).cast("int"), F.lit(2))))
+    # At 2 every word is in full; at n from 3 up, each word of at least twice n letters is its first n bones.
+    shorter = lambda w: F.when((F.col("n") > 2) & (F.length(w) >= 2 * F.col("n")) & ~w.rlike(r"\d") & (F.length(bones(w)) >= F.col("n")), F.substr(bones(w), F.lit(1), F.col("n"))).otherwise(w)
+    spelled = names.where(F.size("words") > 0).select("field_name", "words", cut_to.alias("n")).select("field_name", "words", F.transform("words", shorter).alias("as")).distinct()
 
     def runs(name: str) -> Column:
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(NAME_RUN), F.size("words") - i)), lambda n: F.slice(name, i + 1, n))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.size("words") - i), lambda n: F.slice(name, i + 1, n))))
 
     both = spelled.select("field_name", F.inline(F.arrays_zip(runs("as").alias("w"), runs("words").alias("p"))))
     return both.groupBy("field_name", F.array_join("w", "").alias("word")).agg(F.min(F.array_join("p", " ")).alias("parts"))
@@ -174,15 +199,16 @@ def vocabulary(names: DataFrame) -> DataFrame:
 def map_values(values: DataFrame, ref_values: DataFrame) -> DataFrame:
     """field_name, value, ref_id, score for each distinct (field_name, value)."""
     names = names_of(ref_values)
-    vocab = vocabulary(names)
+    vocab = cut(vocabulary(names))
+    longest = (vocab.agg(F.max(F.length("word"))).first()[0] or 0) + EDITS
     values = values.select("field_name", "value").distinct()
-    grams = values.mapInPandas(_grams, "field_name string, value string, start int, run int, gram string")
-    left = grams.select("field_name", "gram").distinct().mapInPandas(_keys("gram"), "field_name string, gram string, key string")
-    right = vocab.select("field_name", "word").mapInPandas(_keys("word"), "field_name string, word string, key string")
+    grams = cut(values.mapInPandas(_grams(longest), "field_name string, value string, start int, run int, gram string"))
+    left = grams.select("field_name", "gram").distinct().mapInPandas(_keys("gram"), "field_name string, gram string, key long")
+    right = vocab.select("field_name", "word").mapInPandas(_keys("word"), "field_name string, word string, key long")
     near = left.join(right, ["field_name", "key"]).select("field_name", "gram", "word").distinct()
     repairs = near.mapInPandas(_similar, "field_name string, gram string, word string, sim double").join(vocab, ["field_name", "word"])
     found = grams.join(repairs, ["field_name", "gram"]).groupBy("field_name", "value").agg(F.collect_list(F.struct("start", "run", "sim", "word", "parts")).alias("found"))
-    tokens = found.mapInPandas(_cover, "field_name string, value string, spot string, token string, sim double, odd_number boolean")
+    tokens = cut(found.mapInPandas(_cover, "field_name string, value string, spot string, token string, sim double, odd_number boolean"))
     # Weights: a word is the more telling, the fewer entries of its field have it in one of their names.
     entry_words = names.select("field_name", "ref_id", "name", F.explode(F.array_distinct("words")).alias("token"))
     entries = names.groupBy("field_name").agg(F.countDistinct("ref_id").alias("n"))
