@@ -4,8 +4,8 @@
    where a word meets a number.  Runs of pieces, written together, are its grams ("HX  9" has "hx9"), up to the length of the longest
    word in the vocabulary and the edits it may have suffered: longer ones cannot match.
 2. The vocabulary has the words of all names in the list (canonical names and other names) and runs of neighbouring words
-   written together ("lightframe"), and abbreviations: the first letter and consonants of a word in their order, from three of
-   them up to half the word ("bkg" for background).  Distinct grams join it on deletion neighbourhoods (two strings within two
+   written together ("lightframe"), and the abbreviations that people make of long words: the first letter and the consonants
+   that follow ("bkg" for background).  Distinct grams join it on deletion neighbourhoods (two strings within two
    edits share a string that each becomes by at most two deletions; the strings are joined by their hashes, so a key has one
    size whatever the length of a word), and the exact edit distance, with swaps as one edit, decides.
    Digits are never repaired: a model number is right or it is another model.
@@ -42,6 +42,9 @@ from photoloom.session import cut
 LEAST = 0.52
 #: Edits of a word at most.
 EDITS = 2
+#: Letters of a word that people shorten, and of what they make of it: with fewer letters many short words would be met by chance,
+#: and shorter words are not worth shortening.
+LONG_WORD, ABBREVIATION = 8, 3
 #: What each gram of a cover, and each repaired one, costs in letters: of covers that explain as much, the one of fewer and of
 #: exact grams is taken. Both costs are below half a letter, so they never outweigh a letter that is explained.
 GRAM_COST, REPAIR_COST = 0.1, 0.3
@@ -183,11 +186,8 @@ def vocabulary(names: DataFrame) -> DataFrame:
     """field_name, word, parts: the words of names and runs of neighbouring words written together, each word in full or, in a
     run of its own spelling, abbreviated."""
     bones = lambda w: F.concat(F.substring(w, 1, 1), F.regexp_replace(F.regexp_replace(F.substr(w, F.lit(2)), "ck", "k"), "[aeiouyäöü]", ""))
-    most = F.array_max(F.transform("words", lambda w: F.length(w)))
-    cut_to = F.explode(F.sequence(F.lit(2).cast("int"), F.greatest(F.floor(most / 2).cast("int"), F.lit(2))))
-    # At 2 every word is in full; at n from 3 up, each word of at least twice n letters is its first n bones.
-    shorter = lambda w: F.when((F.col("n") > 2) & (F.length(w) >= 2 * F.col("n")) & ~w.rlike(r"\d") & (F.length(bones(w)) >= F.col("n")), F.substr(bones(w), F.lit(1), F.col("n"))).otherwise(w)
-    spelled = names.where(F.size("words") > 0).select("field_name", "words", cut_to.alias("n")).select("field_name", "words", F.transform("words", shorter).alias("as")).distinct()
+    short = F.transform("words", lambda w: F.when((F.length(w) >= LONG_WORD) & ~w.rlike(r"\d"), F.substring(bones(w), 1, ABBREVIATION)).otherwise(w))
+    spelled = names.where(F.size("words") > 0).select("field_name", "words", F.explode(F.array_distinct(F.array(F.col("words"), short))).alias("as"))
 
     def runs(name: str) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.size("words") - i), lambda n: F.slice(name, i + 1, n))))

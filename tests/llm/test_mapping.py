@@ -36,7 +36,7 @@ def test_distances():
 def test_long_names_and_values_of_many_pieces(spark):
     long = "Quasiinterferometricspectropolarimeterassemblyunit"
     ref = spark.createDataFrame([*ENTRIES, (40, "instrume", f"{long} Seven", None), (41, "instrume", " ".join(f"word{chr(97 + i)}" for i in range(12)), None)], REF)
-    many = {k: "T300 " + "seen by them at sunset " * k for k in (1, 6, 10, 200)}
+    many = {k: "T300 " + "plum gravy jujubes " * k for k in (1, 6, 10, 200)}
     values = [long, long[:10] + "x" + long[11:], long.upper() + " SEVEN", "".join(f"word{chr(97 + i)}" for i in range(12)), "C V 6 2 0 M", *many.values()]
     got = {r.value: r.ref_id for r in map_values(spark.createDataFrame([("instrume", v) for v in values], "field_name string, value string"), ref).collect()}
     assert [got[v] for v in values[:5]] == [40, 40, 40, 41, 21]
