@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,7 +40,7 @@ RADIUS = 12.0
 PRIOR, TWICE, MATCH = 0.6, 0.2, 0.5
 #: Spread of magnitudes of unrelated neighbours; share and spread of matches whose brightness is off (variables, blends).
 LOOSE, ODD, ODD_SPREAD = 2.0, 0.05, 0.5
-ROUNDS, STILL = 24, 1e-3
+ROUNDS, STILL = 60, 1e-3
 BRIGHTNESS = ("V", "B")
 
 
@@ -111,13 +112,14 @@ def evidence(pairs: DataFrame, radius: float = RADIUS) -> DataFrame:
 
 
 def propagate(pairs: DataFrame, *, price: float = TWICE, rounds: int = ROUNDS, still: float = STILL) -> DataFrame:
-    """Marginal probability of each pair (object_id, auid, log_odds): adds ``probability``.
+    """Marginal probability of each pair (object_id, auid, log_odds): adds ``probability``, and ``unsettled`` where the messages of
+    the pair still moved by more than ``still`` after the last round (a warning says how many there are).
 
     ``to_auid`` is what an object's factor tells a pair, ``to_object`` what a star's factor tells it (both as log odds).
     """
     # A pair meets the sum over its factor in a window: a join with the grouped sums, without a second copy of the pairs.
     star, thing = W.partitionBy("auid"), W.partitionBy("object_id")
-    m = cut(pairs.where(F.col("log_odds") > -20).withColumns({"from_object": F.lit(0.0), "from_auid": F.lit(0.0)}))
+    m = cut(pairs.withColumns({"from_object": F.lit(0.0), "from_auid": F.lit(0.0)}))
     for k in range(1, rounds + 1):
         # Odds are bounded at e^25, so that a sum less one of its terms keeps its digits.
         m = m.withColumn("_r", F.exp(F.least(F.col("log_odds") + F.col("from_object"), F.lit(25.0))))
@@ -129,15 +131,19 @@ def propagate(pairs: DataFrame, *, price: float = TWICE, rounds: int = ROUNDS, s
         m = m.withColumns({"_change": F.abs(F.col("_new_object") - F.col("from_object")) + F.abs(F.col("_new_auid") - F.col("from_auid")), "from_object": half("_new_object", "from_object"), "from_auid": half("_new_auid", "from_auid")}).drop("_new_object", "_new_auid")
         if k % 4 == 0 or k == rounds:
             m = cut(m)
-            if (m.agg(F.max("_change")).first()[0] or 0.0) < still:
+            moving = m.where(F.col("_change") >= still).count()
+            if not moving:
                 break
-        m = m.drop("_change")
+            if k == rounds:
+                warnings.warn(f"{moving} pairs are unsettled after {rounds} rounds of messages", stacklevel=2)
+        if k < rounds:
+            m = m.drop("_change")
     belief = F.col("log_odds") + F.col("from_object") + F.col("from_auid")
-    return m.select("object_id", "auid", "log_odds", (1 / (1 + F.exp(-belief))).alias("probability"))
+    return m.select("object_id", "auid", "log_odds", (1 / (1 + F.exp(-belief))).alias("probability"), (F.col("_change") >= still).alias("unsettled"))
 
 
 def match_stars(photometry: DataFrame, wcs: DataFrame, comp_stars: DataFrame) -> DataFrame:
-    """object_id, auid, log_odds, probability of every candidate pair."""
+    """object_id, auid, log_odds, probability, unsettled of every candidate pair."""
     pairs = cut(candidates(object_positions(photometry, wcs), listed_stars(comp_stars)))
     return propagate(evidence(cut(without_chart_shifts(pairs))))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from photoloom.llm.encoding import encode, token_counts
 from photoloom.llm.mapping import mapped_found
-from photoloom.llm.matching import matches_found
+from photoloom.llm.matching import match_stars, matches_found
 from photoloom.llm.packing import pack
 from photoloom.llm.quality import structure_found, text_quality, text_statistics
 from photoloom.llm.textstats import CommonWords
@@ -25,6 +25,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches_found(*(table(spark, sf_dir, t) for t in ("photometry", "wcs", "comp_stars")))
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pair with its odds before and its marginal probability after the messages."""
+    return match_stars(*(table(spark, sf_dir, t) for t in ("photometry", "wcs", "comp_stars")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_counts": p8_counts,
+    "p4_found": p4_found, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found, "p8_statistics": p8_statistics, "p8_counts": p8_counts,
 }
 _BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 

@@ -59,3 +59,14 @@ def test_scene_with_wrap_shift_and_double_listing(spark):
     assert got == {(int(s[1:]), s) for s, *_ in stars if s[0] == "s"} | {(4, "twice")}
     assert matches_found(p.limit(0), w, c).count() == 0
     assert matches_found(p, w, c.limit(0)).count() == 0
+
+
+def test_messages_decide_where_evidence_misleads(spark):
+    """By evidence alone star a would go to object 2, which star b claims with far better reason; the messages give it to object 1."""
+    pairs = [(1, "a", 2.0), (2, "a", 2.3), (2, "b", 7.0), (3, "c", -40.0)]
+    rows = propagate(spark.createDataFrame(pairs, "object_id long, auid string, log_odds double"), price=0.02).collect()
+    got = {(r.object_id, r.auid): r.probability for r in rows}
+    want = brute(pairs, 0.02)
+    assert max((1, 2), key=lambda o: got[o, "a"]) == 1 and got[1, "a"] > 0.5 > got[2, "a"]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
+    assert not any(r.unsettled for r in rows)
