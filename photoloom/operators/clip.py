@@ -83,8 +83,8 @@ def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, *, to
     return joined.withColumn("clipped", outside).drop("low", "high", "std_before", *(f"_k_{c}" for c in keys))
 
 
-def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median") -> DataFrame:
-    """As ``sigma_clip_stats`` without the groups of n = 0, for groups of many readings of few distinct values: equal readings are
+def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median", extremes: bool = False) -> DataFrame:
+    """As ``sigma_clip_stats`` (with ``extremes`` also least and most) without the groups of n = 0, for groups of many readings of few distinct values: equal readings are
     counted before the group is brought together, so that it is as long as its number of distinct values."""
     v = F.col(value) if isinstance(value, str) else value
     h = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
@@ -114,7 +114,8 @@ def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: f
         return stats(a, lambda s: F.filter(a, lambda x: (x["v"] >= s[centre] - k * s["std"]) & (x["v"] <= s[centre] + k * s["std"])))
 
     g = g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("_a"), round_).alias("_a")).where(F.size("_a") > 0)
-    return g.select(*keys, stats(F.col("_a"), lambda s: s).alias("_s")).select(*keys, "_s.n", "_s.mean", "_s.median", "_s.std")
+    ends = [F.element_at("_a", k)["v"].alias(n) for k, n in ((1, "least"), (-1, "most"))] if extremes else []
+    return g.select(*keys, stats(F.col("_a"), lambda s: s).alias("_s"), *ends).select(*keys, "_s.n", "_s.mean", "_s.median", "_s.std", *(["least", "most"] if extremes else []))
 
 
 def sigma_clip_large(df: DataFrame, keys: list[str], value: str, k: float, *, iterations: int = 5, accuracy: int = 100_000) -> DataFrame:
