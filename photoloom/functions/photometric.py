@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,33 +95,49 @@ def sdss_z(v: Column, r: Column, i: Column) -> Column:
     return sdss_r(v, r) - 1.584 * (r - i) + 0.386
 
 
-#: Extinction for each magnitude of E(B-V), by inverse micrometres, of the mean Galactic curve (Fitzpatrick 1999, R = 3.1; fixed values).
-GALACTIC_CURVE = [(0.0, 0.0), (0.377, 0.265), (0.820, 0.829), (1.667, 2.688), (1.828, 3.055), (2.141, 3.806), (2.433, 4.315), (3.704, 6.265), (3.846, 6.591)]
 #: Effective wavelengths in angstroms (fixed values).
 EFFECTIVE_WAVELENGTH = {"U": 3600.0, "B": 4380.0, "V": 5450.0, "R": 6410.0, "I": 7980.0}
 
 
-def extinction_at(wavelength: float, colour_excess: float) -> float:
-    """Extinction at a wavelength (angstroms): a natural cubic spline through the knots of the mean curve."""
-    x, y = zip(*GALACTIC_CURVE, strict=True)
+def galactic_curve(ratio: float) -> list[tuple[float, float]]:
+    """Knots of the mean Galactic curve: inverse micrometres, extinction for each magnitude of E(B-V), for a ratio R of total to
+    selective extinction (Fitzpatrick 1999; fixed values)."""
+    slope = -0.824 + 4.717 / ratio
+    base = ratio + 2.030 - 3.007 * slope
+    return [
+        (0.0, 0.0),
+        (0.377, 0.265 * ratio / 3.1),
+        (0.820, 0.829 * ratio / 3.1),
+        (1.667, -0.426 + 1.0044 * ratio),
+        (1.828, -0.050 + 1.0016 * ratio),
+        (2.141, 0.701 + 1.0016 * ratio),
+        (2.433, 1.208 + 1.0032 * ratio - 0.00033 * ratio**2),
+        (3.704, base + slope * 3.704 + 0.6492006),
+        (3.846, base + slope * 3.846 + 0.8752775),
+    ]
+
+
+def cubic_spline(knots: list[tuple[float, float]], at: float) -> float:
+    """The cubic spline through the knots whose outer two pieces are one cubic at either end (no condition at the ends)."""
+    x, y = np.array(knots, dtype=float).T
+    h, slope = np.diff(x), np.diff(y) / np.diff(x)
     n = len(x)
-    h = [b - a for a, b in zip(x, x[1:], strict=False)]
-    slope = [(y[k + 1] - y[k]) / h[k] for k in range(n - 1)]
-    # Second derivatives at the knots (a tridiagonal system, solved by elimination).
-    diag, right = [1.0] * n, [0.0] * n
-    upper = [0.0] * n
+    # Second derivatives: continuous first derivatives inside, one third derivative across the outermost inner knots.
+    a, b = np.zeros((n, n)), np.zeros(n)
     for k in range(1, n - 1):
-        w = h[k - 1] / diag[k - 1] if k > 1 else 0.0
-        diag[k] = 2 * (h[k - 1] + h[k]) - w * upper[k - 1]
-        upper[k] = h[k]
-        right[k] = 6 * (slope[k] - slope[k - 1]) - w * right[k - 1]
-    second = [0.0] * n
-    for k in range(n - 2, 0, -1):
-        second[k] = (right[k] - upper[k] * second[k + 1]) / diag[k]
-    at = 1e4 / wavelength
-    k = max(j for j in range(n - 1) if x[j] <= at)
-    a, b = (x[k + 1] - at) / h[k], (at - x[k]) / h[k]
-    return colour_excess * (a * y[k] + b * y[k + 1] + ((a**3 - a) * second[k] + (b**3 - b) * second[k + 1]) * h[k] ** 2 / 6)
+        a[k, k - 1 : k + 2] = h[k - 1] / 6, (h[k - 1] + h[k]) / 3, h[k] / 6
+        b[k] = slope[k] - slope[k - 1]
+    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
+    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
+    m = np.linalg.solve(a, b)
+    k = int(np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2))
+    u, v = x[k + 1] - at, at - x[k]
+    return float((m[k] * u**3 + m[k + 1] * v**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * v)
+
+
+def extinction_at(wavelength: float, colour_excess: float, ratio: float = 3.1) -> float:
+    """Extinction at a wavelength (angstroms)."""
+    return colour_excess * cubic_spline(galactic_curve(ratio), 1e4 / wavelength)
 
 
 def extinction_bv(colour_excess: float, ratio: float = 3.1) -> tuple[float, float]:
@@ -135,3 +152,13 @@ def piecewise_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
     for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
         out = F.when((x >= x0) & (x < x1), y0 + (y1 - y0) * (x - x0) / (x1 - x0)).otherwise(out)
     return out
+
+
+def extrapolated_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear between the knots, and on along the first and the last piece beyond them."""
+    knots = sorted(knots)
+    out = None
+    for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:], strict=False))):
+        piece = y0 + (y1 - y0) * (x - x0) / (x1 - x0)
+        out = piece if out is None else F.when(x < x1, piece).otherwise(out)
+    return out

@@ -330,3 +330,55 @@ def similarity_transform(reference: np.ndarray, points: np.ndarray, brightest: i
         i, j = inliers(best)
         best = fit(b[i], a[j])
     return best
+
+
+def limited_shift(reference: np.ndarray, image: np.ndarray, most: int = 1000) -> tuple[int, int]:
+    """As ``shift_between``, of shifts of at most ``most`` pixels along either axis (no shift at all is not looked for)."""
+    a, b = (np.fft.rfft2(np.nan_to_num(x - np.nanmedian(x))) for x in (reference, image))
+    cross = a * np.conj(b)
+    peak = np.fft.irfft2(cross / np.maximum(np.abs(cross), 1e-12), s=reference.shape)
+    dy, dx = (np.minimum(np.arange(n), n - np.arange(n)) for n in peak.shape)
+    peak = np.where((dy[:, None] <= most) & (dx[None, :] <= most), peak, -np.inf)
+    peak[0, 0] = -np.inf
+    y, x = np.unravel_index(np.argmax(peak), peak.shape)
+    ny, nx = peak.shape
+    return int(y - ny if y > ny // 2 else y), int(x - nx if x > nx // 2 else x)
+
+
+def limiting_flux(image: np.ndarray, mask: np.ndarray, radius: float, *, apertures: int = 500, sigmas: float = 5.0, rounds: int = 2, seed: int = 1) -> float:
+    """The flux that stands out from the sky by ``sigmas``: the scatter of the sums of apertures that are strewn over the sky
+    without meeting each other or the mask; the mean of ``rounds`` of them. NaN where no three apertures find a place."""
+    ny, nx = image.shape
+    reach = int(np.ceil(radius))
+    jj, ii = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+    disc = np.hypot(jj, ii) <= radius
+    taken = np.cumsum(np.cumsum(np.pad(mask | ~np.isfinite(image), ((1, 0), (1, 0))).astype(np.int64), axis=0), axis=1)
+    w = 2 * reach + 1
+    free = (taken[w:, w:] - taken[:-w, w:] - taken[w:, :-w] + taken[:-w, :-w]) == 0 if min(ny, nx) >= w else np.zeros((0, 0), bool)
+    places = np.argwhere(free) + reach
+    limits = []
+    for k in range(rounds):
+        rng = np.random.default_rng(seed + k)
+        used, sums = np.zeros((ny, nx), bool), []
+        for y, x in rng.permutation(places):
+            box = (slice(y - reach, y + reach + 1), slice(x - reach, x + reach + 1))
+            if not used[box][disc].any():
+                used[box] |= disc
+                sums.append(image[box][disc].sum())
+                if len(sums) == apertures:
+                    break
+        if len(sums) > 2:
+            limits.append(sigmas * np.std(sums))
+    return float(np.mean(limits)) if limits else float("nan")
+
+
+def pad_masked(image: np.ndarray, mask: np.ndarray, error: np.ndarray, ny: int, nx: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Image, mask and error on a larger plane: what is added is 0, masked, without error."""
+    return pad(image, ny, nx), pad(mask.astype(float), ny, nx, 1.0).astype(bool), pad(error, ny, nx)
+
+
+def plain_mask(flat: np.ndarray, low: float = 6.0, high: float = 6.0, box: int = 7) -> np.ndarray:
+    """Bad pixels of a ratio of flats: those that stand out from the median around by more than the scaled deviation allows."""
+    off = flat - _median_filter(flat, box)
+    s = SIGMA * np.nanmedian(np.abs(off - np.nanmedian(off)))
+    return ~((off >= -low * max(s, 1e-12)) & (off <= high * max(s, 1e-12)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -315,9 +316,12 @@ def shift_outliers(t, window: int = 8, threshold: float = 10.0):
 def width_bins_linspace(t, edges: int = 40):
     """Bins between the least and the largest value, both included in the edges; the largest value itself falls outside."""
     d = t.calib.where("mag_v IS NOT NULL AND mag_b IS NOT NULL").select(c("mag_v").alias("m"), (c("mag_b") - c("mag_v")).alias("v"))
-    e = d.agg(F.min("m").alias("a"), ((F.max("m") - F.min("m")) / (edges - 1)).alias("w"))
-    d = d.join(F.broadcast(e)).where(c("m") < c("a") + (edges - 1) * c("w"))  # one row
-    return d.groupBy(F.floor((c("m") - c("a")) / c("w")).cast("long").alias("bin")).agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
+    low, high = d.agg(F.min("m"), F.max("m")).first()
+    if low is None or low == high:
+        return d.select(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("n"), "v").limit(0).withColumnRenamed("v", "mean")
+    step = (high - low) / (edges - 1)
+    d = d.where(c("m") < low + (edges - 1) * step)
+    return d.groupBy(F.floor((c("m") - low) / step).cast("long").alias("bin")).agg(F.count("*").alias("n"), r(F.avg("v")).alias("mean"))
 
 
 DRAWS = 1000
@@ -359,3 +363,28 @@ def masters_attached(t):
     near = nearest_on_axis(light.where("exptime IS NOT NULL").select("camera", "exptime").distinct(), dark, ["camera"], "exptime", "dark_id")
     d = light.join(near, ["camera", "exptime"], "left").join(bias, "camera", "left").join(flat, ["camera", "filter"], "left")
     return d.select("image_id", "bias_id", c("near_dark_id").alias("dark_id"), "flat_id", (F.abs(c("near_exptime") - c("exptime")) > 0.5).alias("dark_is_scaled"))
+
+
+_FIDUCIAL = "SELECT catalog_code AS k, floor((mag_v - 8) / 0.5)::BIGINT AS bin, quantile_cont(mag_v, 0.5) AS mag, quantile_cont(mag_b - mag_v, 0.5) AS colour FROM calib WHERE mag_v IS NOT NULL AND mag_b IS NOT NULL AND catalog_code IS NOT NULL GROUP BY ALL"
+#: Observed points at most that are compared with models.
+MOST_POINTS = 20_000
+
+
+@query("isochrone_fit", f"""WITH o AS ({_FIDUCIAL}), i AS (SELECT label, 13 + 8 * embedding[1]::DOUBLE AS mag, 1 + 2 * embedding[2]::DOUBLE AS colour FROM embeddings),
+    d AS (SELECT k, bin, label, arg_min(struct_pack(m := i.mag, c := i.colour), round(pow(i.mag - o.mag, 2) + pow(i.colour - o.colour, 2), 9)) AS near, any_value(o.mag) AS mag, any_value(o.colour) AS colour FROM o, i GROUP BY ALL),
+    s AS (SELECT k, label, sum(pow(mag - near.m, 2)) AS chi2_mag, sum(pow(colour - near.c, 2)) AS chi2_colour FROM d GROUP BY ALL)
+    SELECT k AS catalog_code, label AS isochrone, round(chi2_mag + chi2_colour, 4) AS chi2 FROM s""")
+def isochrone_fit(t):
+    """Chi square of every isochrone of a table against the fiducial points of every catalogue, each point against the nearest one
+    of the isochrone.  The observed points are bins, a bounded list (checked): every model point meets them as one array, and the
+    nearest is kept with map-side minima; models of any number are never paired with each other."""
+    d = t.calib.where("mag_v IS NOT NULL AND mag_b IS NOT NULL AND catalog_code IS NOT NULL").groupBy("catalog_code", F.floor((c("mag_v") - 8) / 0.5).cast("long").alias("bin"))
+    observed = d.agg(F.percentile("mag_v", 0.5).alias("mag"), F.percentile(c("mag_b") - c("mag_v"), 0.5).alias("colour"))
+    points = observed.limit(MOST_POINTS + 1).collect()
+    if len(points) > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} observed points; bin them more coarsely")
+    array = F.from_json(F.lit(json.dumps([dict(zip(("k", "bin", "mag", "colour"), p, strict=True)) for p in points])), "array<struct<k:string,bin:bigint,mag:double,colour:double>>")
+    models = t.embeddings.select(c("label").alias("isochrone"), (13 + 8 * c("embedding")[0].cast("double")).alias("m"), (1 + 2 * c("embedding")[1].cast("double")).alias("c"))
+    met = models.select("isochrone", "m", "c", F.inline(array))
+    near = met.groupBy("k", "bin", "isochrone").agg(F.min_by(F.struct((c("m") - c("mag")).alias("dm"), (c("c") - c("colour")).alias("dc")), F.round(F.pow(c("m") - c("mag"), F.lit(2)) + F.pow(c("c") - c("colour"), F.lit(2)), 9)).alias("n"))
+    return near.groupBy(c("k").alias("catalog_code"), "isochrone").agg(r(F.sum(c("n.dm") * c("n.dm") + c("n.dc") * c("n.dc")), 4).alias("chi2"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from photoloom.functions import photometric as P
 from photoloom.functions.sky import pixel_to_sky, sky_to_pixel
+from photoloom.operators.quantiles import exact_median
 from photoloom.operators.spatial import separation_arcsec
 from photoloom.operators.spikes import image_times
 from photoloom.plans.registry import Registry, Tables, r, sql_values
@@ -167,9 +168,10 @@ def header_summary(t):
     return t.frames.select(F.explode("header").alias("key", "value")).groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"))
 
 
-@query("file_order", r"SELECT file_name, CAST(nullif(regexp_extract(file_name, '([0-9]+)', 1), '') AS BIGINT) AS number, lower(regexp_extract(file_name, '\.([A-Za-z]+)$', 1)) AS suffix FROM frames WHERE regexp_matches(lower(file_name), '\.fits?$')")
+@query("file_order", r"SELECT file_name, CAST(coalesce(nullif(regexp_extract(file_name, '^([0-9]+)_', 1), ''), nullif(regexp_extract(file_name, '([0-9]+)', 1), '')) AS BIGINT) AS number, lower(regexp_extract(file_name, '\.([A-Za-z]+)$', 1)) AS suffix FROM frames WHERE regexp_matches(lower(file_name), '\.fits?$')")
 def file_order(t):
-    return t.frames.where(F.lower("file_name").rlike(r"\.fits?$")).select("file_name", F.nullif(F.regexp_extract("file_name", r"([0-9]+)", 1), F.lit("")).cast("long").alias("number"), F.lower(F.regexp_extract("file_name", r"\.([A-Za-z]+)$", 1)).alias("suffix"))
+    """FITS files with the number they are put in order by: what stands before the first underscore, else the first digits."""
+    return t.frames.where(F.lower("file_name").rlike(r"\.fits?$")).select("file_name", F.coalesce(*(F.nullif(F.regexp_extract("file_name", p, 1), F.lit("")) for p in (r"^([0-9]+)_", r"([0-9]+)"))).cast("long").alias("number"), F.lower(F.regexp_extract("file_name", r"\.([A-Za-z]+)$", 1)).alias("suffix"))
 
 
 @query("distance_filter", "SELECT vec_id, round(1 / (abs(embedding[1]::DOUBLE) * 10), 6) AS kpc FROM embeddings WHERE embedding[1] <> 0 AND 1 / (abs(embedding[1]::DOUBLE) * 10) <= 6")
@@ -180,9 +182,9 @@ def distance_filter(t):
 
 @query("pm_box", "WITH m AS (SELECT quantile_cont(embedding[1]::DOUBLE * 10, 0.5) a, quantile_cont(embedding[2]::DOUBLE * 10, 0.5) b FROM embeddings) SELECT vec_id FROM embeddings, m WHERE embedding[1]::DOUBLE * 10 > a - 0.8 AND embedding[1]::DOUBLE * 10 < a + 0.8 AND embedding[2]::DOUBLE * 10 > b - 0.8 AND embedding[2]::DOUBLE * 10 < b + 0.8")
 def pm_box(t):
+    """Stars around the median proper motion; the medians are exact and found without a task that sees all values."""
     d = t.embeddings.select("vec_id", (c("embedding")[0].cast("double") * 10).alias("a"), (c("embedding")[1].cast("double") * 10).alias("b"))
-    m = d.agg(F.percentile("a", 0.5).alias("a"), F.percentile("b", 0.5).alias("b")).first()
-    return d.where(P.in_open_box(c("a"), m["a"], 0.8) & P.in_open_box(c("b"), m["b"], 0.8)).select("vec_id")
+    return d.where(P.in_open_box(c("a"), exact_median(d, "a"), 0.8) & P.in_open_box(c("b"), exact_median(d, "b"), 0.8)).select("vec_id")
 
 
 @query("magnitude_system", "SELECT cal_id, round(CASE WHEN mag_v - mag_r <= 0.93 THEN mag_r + 0.267 * (mag_v - mag_r) + 0.088 ELSE mag_r + 0.77 * (mag_v - mag_r) - 0.37 END, 6) AS r_prime, round(mag_v + 0.63 * (mag_b - mag_v) - 0.124, 6) AS g_prime FROM calib WHERE mag_b IS NOT NULL AND mag_v IS NOT NULL AND mag_r IS NOT NULL")
@@ -234,13 +236,33 @@ def magnitude_system_uiz(t):
     return t.calib.select("cal_id", r(P.sdss_u(c("mag_u"), c("mag_b"), c("mag_v")), 7).alias("u_prime"), r(P.sdss_i(c("mag_r"), c("mag_i")), 7).alias("i_prime"), r(P.sdss_z(c("mag_v"), c("mag_r"), c("mag_i")), 7).alias("z_prime"))
 
 
-_EXTINCTION = [(b, round(P.extinction_at(w, 0.12), 6)) for b, w in P.EFFECTIVE_WAVELENGTH.items()]
+#: A(band) / E(B-V) at R = 3.1 and 4, worked out apart from the engine: a cubic for each piece, by the conditions of the spline.
+_PER_EXCESS = {"U": (4.793311, 5.666908), "B": (4.077215, 4.980411), "V": (3.071276, 3.972280), "R": (2.440911, 3.312409), "I": (1.719610, 2.358880)}
 
 
-@query("extinction_curve", "SELECT cal_id, " + ", ".join(f"round(mag_{b.lower()} - {a!r}, 6) AS {b.lower()}_0" for b, a in _EXTINCTION) + " FROM calib")
+@query("extinction_curve", "SELECT cal_id, " + ", ".join(f"round(mag_{b.lower()} - 0.12 * {a!r}, 4) AS {b.lower()}_0, round(mag_{b.lower()} - 0.3 * {d!r}, 4) AS {b.lower()}_dense" for b, (a, d) in _PER_EXCESS.items()) + " FROM calib")
 def extinction_curve(t):
-    """Magnitudes without interstellar extinction, by the mean Galactic curve at each band's wavelength."""
-    return t.calib.select("cal_id", *(r(c(f"mag_{b.lower()}") - a).alias(f"{b.lower()}_0") for b, a in _EXTINCTION))
+    """Magnitudes without interstellar extinction, by the mean Galactic curve at each band's wavelength, for the usual ratio and for
+    that of a dense cloud."""
+    bands = P.EFFECTIVE_WAVELENGTH.items()
+    return t.calib.select("cal_id", *(r(c(f"mag_{b.lower()}") - P.extinction_at(w, e, ratio), 4).alias(f"{b.lower()}_{name}") for b, w in bands for e, ratio, name in ((0.12, 3.1, "0"), (0.3, 4.0, "dense"))))
+
+
+DARK_CURRENT = [(-30.0, 0.002), (-20.0, 0.006), (-10.0, 0.02), (0.0, 0.07)]
+
+
+@query("dark_current", "SELECT image_id, round(CASE WHEN ccd_temp < -20 THEN 0.002 + 0.004 * (ccd_temp + 30) / 10 WHEN ccd_temp < -10 THEN 0.006 + 0.014 * (ccd_temp + 20) / 10 ELSE 0.02 + 0.05 * (ccd_temp + 10) / 10 END, 6) AS rate FROM frames WHERE ccd_temp IS NOT NULL")
+def dark_current(t):
+    """Dark current at the temperature of each frame, from a table of the camera, extrapolated beyond its ends."""
+    return t.frames.where("ccd_temp IS NOT NULL").select("image_id", r(P.extrapolated_linear(c("ccd_temp"), DARK_CURRENT)).alias("rate"))
+
+
+@query("magnitude_system_first", f"SELECT cal_id, CASE WHEN mag_v IS NOT NULL AND mag_b IS NOT NULL THEN round(mag_v + 0.63 * (mag_b - mag_v) - 0.124, 6) ELSE NULL END AS g_prime, round(coalesce({_R1}, mag_r), 6) AS r_prime, round(coalesce(mag_i + 0.247 * (mag_r - mag_i) + 0.236, mag_i), 6) AS i_prime, CASE WHEN mag_v IS NOT NULL AND mag_r IS NOT NULL THEN 'V, R' WHEN mag_r IS NOT NULL THEN 'R' END AS r_from FROM calib")
+def magnitude_system_first(t):
+    """Bands of another system by the first rule whose magnitudes are all there; where no rule applies, the nearest band as it is."""
+    first = lambda *rules: F.coalesce(*rules)
+    how = F.when(c("mag_v").isNotNull() & c("mag_r").isNotNull(), F.lit("V, R")).when(c("mag_r").isNotNull(), F.lit("R"))
+    return t.calib.select("cal_id", r(P.sdss_g(c("mag_b"), c("mag_v"))).alias("g_prime"), r(first(P.sdss_r(c("mag_v"), c("mag_r")), c("mag_r"))).alias("r_prime"), r(first(P.sdss_i(c("mag_r"), c("mag_i")), c("mag_i"))).alias("i_prime"), how.alias("r_from"))
 
 
 @query("isochrone_magnitudes", f"WITH i AS (SELECT x AS k, y AS b_v FROM {sql_values([(float(k), 0.05 * k) for k in range(20)], 'x, y')}) SELECT k, round(5.0 + 1.5 * b_v, 6) AS v, round(5.0 + 1.5 * b_v + b_v, 6) AS b, round(5.0 + 1.5 * b_v - 0.55 * b_v, 6) AS r FROM i")

@@ -38,10 +38,16 @@ def shift_outlier(t):
 
 
 @query("gaps_islands", "WITH d AS (SELECT DISTINCT object_id, image_id // 8 AS block FROM photometry), n AS (SELECT object_id, block, block - row_number() OVER (PARTITION BY object_id ORDER BY block) AS g FROM d) SELECT object_id, min(block) AS first, max(block) AS last, count(*) AS n FROM n GROUP BY object_id, g")
-def gaps_islands(t):
-    d = t.photometry.select("object_id", F.floor(c("image_id") / 8).cast("long").alias("block")).distinct()
-    n = d.withColumn("g", c("block") - F.row_number().over(W.partitionBy("object_id").orderBy("block")))
-    return n.groupBy("object_id", "g").agg(F.min("block").alias("first"), F.max("block").alias("last"), F.count("*").alias("n")).drop("g")
+def gaps_islands(t, span: int = 1024):
+    """Runs of blocks in which an object is seen.  Islands are found within spans of blocks first, so that an object that is seen
+    all the time is spread; then islands that meet at the ends of spans are joined, a few rows for each object."""
+    d = t.photometry.select("object_id", F.floor(c("image_id") / 8).cast("long").alias("block")).distinct().withColumn("span", F.floor(c("block") / span))
+    n = d.withColumn("g", c("block") - F.row_number().over(W.partitionBy("object_id", "span").orderBy("block")))
+    parts = n.groupBy("object_id", "span", "g").agg(F.min("block").alias("first"), F.max("block").alias("last"), F.count("*").alias("n"))
+    order = W.partitionBy("object_id").orderBy("first")
+    parts = parts.withColumn("new", F.coalesce((c("first") > F.lag("last").over(order) + 1).cast("int"), F.lit(1)))
+    parts = parts.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return parts.groupBy("object_id", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n")).drop("island")
 
 
 _FLUX = "(SELECT DISTINCT image_id, object_id, flux_fit FROM photometry WHERE flux_fit IS NOT NULL)"
@@ -57,11 +63,11 @@ def percentile_row_pick(t):
     return d.where("k >= b - 10 AND k < b").select("image_id", "object_id")
 
 
-@query("middle_slice", f"SELECT image_id, object_id FROM (SELECT image_id, object_id, row_number() OVER (PARTITION BY image_id ORDER BY flux_fit, object_id) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM {_FLUX}) WHERE n < 30 OR k BETWEEN 11 AND 25")
+@query("middle_slice", f"SELECT image_id, object_id FROM (SELECT image_id, object_id, row_number() OVER (PARTITION BY image_id ORDER BY flux_fit, object_id) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM {_FLUX}) WHERE n < 40 OR k BETWEEN 21 AND 40")
 def middle_slice(t):
     d = t.photometry.where("flux_fit IS NOT NULL").select("image_id", "object_id", "flux_fit").distinct()
     one = W.partitionBy("image_id")
-    return d.withColumns({"k": F.row_number().over(one.orderBy("flux_fit", "object_id")), "n": F.count("*").over(one)}).where("n < 30 OR k BETWEEN 11 AND 25").select("image_id", "object_id")
+    return d.withColumns({"k": F.row_number().over(one.orderBy("flux_fit", "object_id")), "n": F.count("*").over(one)}).where("n < 40 OR k BETWEEN 21 AND 40").select("image_id", "object_id")
 
 
 @query("sequence_id", f"SELECT image_id, row_number() OVER ({_BY}) - 1 AS seq FROM {_DAY} WHERE o IS NOT NULL AND jd IS NOT NULL")
@@ -77,11 +83,11 @@ def observing_blocks(t):
     return d.select("image_id", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("block"))
 
 
-@query("crop_from_shifts", """WITH s AS (SELECT l_orderkey AS image, ((l_partkey % 41) - 20)::DOUBLE / 2 AS dy, ((l_suppkey % 31) - 15)::DOUBLE / 2 AS dx FROM lineitem WHERE l_linenumber = 1), g AS (SELECT min(dy) y0, max(dy) y1, min(dx) x0, max(dx) x1 FROM s)
+@query("crop_from_shifts", """WITH s AS (SELECT l_orderkey * 8 + l_linenumber AS image, ((l_partkey % 41) - 20)::DOUBLE / 2 AS dy, ((l_suppkey % 31) - 15)::DOUBLE / 2 AS dx FROM lineitem), g AS (SELECT min(dy) y0, max(dy) y1, min(dx) x0, max(dx) x1 FROM s)
     SELECT image, CAST(round_even(greatest(y1, 0) - dy, 0) AS BIGINT) AS top, CAST(round_even(dy - least(y0, 0), 0) AS BIGINT) AS bottom, CAST(round_even(greatest(x1, 0) - dx, 0) AS BIGINT) AS left_, CAST(round_even(dx - least(x0, 0), 0) AS BIGINT) AS right_ FROM s, g""")
 def crop_from_shifts(t):
     """Rows and columns that each shifted image loses, so that all show the same field. The extremes are one global aggregate."""
-    s = t.lineitem.where("l_linenumber = 1").select(c("l_orderkey").alias("image"), (((c("l_partkey") % 41) - 20) / 2).alias("dy"), (((c("l_suppkey") % 31) - 15) / 2).alias("dx"))
+    s = t.lineitem.select((c("l_orderkey") * 8 + c("l_linenumber")).alias("image"), (((c("l_partkey") % 41) - 20) / 2).alias("dy"), (((c("l_suppkey") % 31) - 15) / 2).alias("dx"))
     g = s.agg(F.min("dy").alias("y0"), F.max("dy").alias("y1"), F.min("dx").alias("x0"), F.max("dx").alias("x1")).first()
     even = lambda x: F.bround(x, 0).cast("long")
     y0, y1, x0, x1 = (F.lit(v) for v in (min(g["y0"] or 0, 0.0), max(g["y1"] or 0, 0.0), min(g["x0"] or 0, 0.0), max(g["x1"] or 0, 0.0)))

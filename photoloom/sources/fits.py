@@ -100,12 +100,15 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """path, header, ny, nx, pixels (array, row by row)."""
+    """path, header, ny, nx, pixels (array, row by row), error: a file that cannot be read has an error and nothing else."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for p, data in zip(pdf["path"], pdf["content"], strict=True):
-                header, image = read_image(data)
-                yield pd.DataFrame({"path": [p], "header": [header], "ny": [image.shape[0]], "nx": [image.shape[-1]], "pixels": [image.ravel()]})
+                try:
+                    header, image = read_image(data)
+                    yield pd.DataFrame({"path": [p], "header": [header], "ny": [image.shape[0]], "nx": [image.shape[-1]], "pixels": [image.ravel()], "error": [None]})
+                except (ValueError, KeyError, IndexError) as e:
+                    yield pd.DataFrame({"path": [p], "header": [None], "ny": [None], "nx": [None], "pixels": [None], "error": [str(e) or type(e).__name__]})
 
-    return _files(spark, path).select("path", "content").mapInPandas(work, "path string, header map<string,string>, ny int, nx int, pixels array<double>")
+    return _files(spark, path).select("path", "content").mapInPandas(work, "path string, header map<string,string>, ny int, nx int, pixels array<double>, error string")

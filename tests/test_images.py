@@ -92,3 +92,52 @@ def test_similarity_transform():
     got = K.similarity_transform(ref, np.r_[moved, [[5.0, 5.0, 8.0]]])
     assert np.allclose(got, np.c_[m, shift], atol=1.0) and np.allclose(got[:, :2], m, atol=0.005)
     assert K.similarity_transform(ref[:2], moved) is None
+
+
+def test_reduction_of_frames(spark):
+    from photoloom.images.frames import combine_by_pixel, limits
+    from photoloom.images.frames import reduce as reduce_frames
+
+    n = 32
+    bias, dark, flat = np.full((n, n), 100.0), np.full((n, n), 101.0), np.linspace(0.8, 1.2, n * n).reshape(n, n)
+    dark[4, 4] = 400.0
+    flat = flat / flat.mean()
+    raw = 100 + 2 * (dark - 100) + 500 * flat
+    raw[20, 21] += 4000
+    raw[9, 9] = 10
+    frame = "image_id int, exptime double, ny int, nx int, pixels array<double>, bias_id int, dark_id int, flat_id int"
+    frames = spark.createDataFrame([(1, 20.0, n, n, raw.ravel().tolist(), 10, 11, 12), (2, 20.0, n, n, raw.ravel().tolist(), None, None, None), (3, 1.0, n, n, None, 10, 11, 12)], frame)
+    masters = spark.createDataFrame([(10, 0.0, bias.ravel().tolist()), (11, 10.0, dark.ravel().tolist()), (12, 1.0, flat.ravel().tolist())], "master_id int, exptime double, pixels array<double>")
+    got = {r.image_id: r for r in reduce_frames(frames, masters).collect()}
+    assert sorted(got) == [1, 2]
+    out, mask = np.array(got[1].pixels).reshape(n, n), np.array(got[1].mask).reshape(n, n)
+    assert np.allclose(out[12:18, 12:18], 25.0) and abs(out[20, 21] - 25.0) < 1.0
+    assert mask[4, 4] and mask[9, 9] and mask.sum() == 2
+    groups = spark.createDataFrame([(k % 2, n, n, (raw + k).ravel().tolist()) for k in range(8)], "g int, ny int, nx int, pixels array<double>")
+    whole = {r.g: np.array(r.pixels) for r in combine(groups, ["g"]).collect()}
+    tiles = combine_by_pixel(groups, ["g"], tile=300).orderBy("g", "tile").collect()
+    for g in (0, 1):
+        assert np.allclose(np.concatenate([r.pixels for r in tiles if r.g == g]), whole[g])
+    sky = scene()
+    lim = limits(spark.createDataFrame([(1, 64, 64, sky.ravel().tolist(), 25.0)], "image_id int, ny int, nx int, pixels array<double>, zp double"), radius=2.0).first()
+    assert 20 < lim.flux_limit < 80 and lim.mag_limit == pytest.approx(25 - 2.5 * np.log10(lim.flux_limit))
+
+
+def test_shift_within_a_window_and_masks():
+    assert K.limited_shift(scene(1), scene(2, dy=3, dx=-2), 10) == (-3, 2)
+    dy, dx = K.limited_shift(scene(1), scene(2, dy=9, dx=0), 5)
+    assert abs(dy) <= 5 and abs(dx) <= 5
+    image, mask, error = K.pad_masked(np.ones((2, 2)), np.zeros((2, 2), bool), np.ones((2, 2)), 3, 3)
+    assert image.sum() == 4 and mask.sum() == 5 and error.sum() == 4
+    flat = np.ones((20, 20)) + np.random.default_rng(0).normal(0, 0.01, (20, 20))
+    flat[5, 6] = 0.3
+    assert K.plain_mask(flat)[5, 6] and K.plain_mask(flat).sum() < 5
+    assert np.isnan(K.limiting_flux(np.ones((9, 9)), np.ones((9, 9), bool), 2.0))
+
+
+def test_a_bad_file_does_not_stop_the_others(spark, tmp_path):
+    (tmp_path / "1.fit").write_bytes(write_image(scene()))
+    (tmp_path / "2.fit").write_bytes(b"no such thing")
+    got = {r.path[-5:]: r for r in images(spark, str(tmp_path)).collect()}
+    assert got["1.fit"].ny == 64 and got["1.fit"].error is None
+    assert got["2.fit"].pixels is None and got["2.fit"].error
