@@ -2,8 +2,8 @@
 
 Readings outside ``centre +- k * spread`` of the readings still in are dropped, again and again; bounds are inclusive, the spread
 is the population standard deviation (or the scaled median absolute deviation).  What is left of a *sorted* group is always one
-slice of it, so a group is sorted once, after one shuffle, and clipped in place with array expressions: no round of aggregates and
-joins for each iteration.  Groups must be bounded by nature (an image, a night of a source).  For groups that grow with the data,
+slice of it, so a group is sorted once, after one shuffle, and its slice shrinks round by round, many groups at a time in NumPy: no
+round of aggregates and joins for each iteration.  Groups must be bounded by nature (an image, a night of a source).  For groups that grow with the data,
 ``sigma_clip_counted`` clips the counts of their distinct values (printed values repeat) with exact results, and
 ``sigma_clip_large`` does the rounds with mergeable sketches.
 
@@ -12,6 +12,11 @@ Null and NaN values are left out; a group of nothing else has null statistics an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,42 +38,90 @@ def array_std(a: Column, mean: Column) -> Column:
     return F.when(F.size(a) > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / F.size(a)))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once (the optimizer would copy a plain column into every lambda that uses it)."""
-    return F.get(F.transform(F.array(value), body), 0)
+def clip_slices(v: np.ndarray, begin: np.ndarray, end: np.ndarray, k: float, iterations: int, centre: str, spread: str, counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Clip the sorted slices ``begin`` to ``end`` of ``v`` (each value ``counts`` times), all of them round by round: n, mean,
+    median, std of what is left, its least and most, the last bounds, and the standard deviation before."""
+    group = np.repeat(np.arange(len(begin)), end - begin)
+    place = np.arange(len(v))
+    w = np.ones(len(v), np.int64) if counts is None else counts.astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(w)])
+
+    def total(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        inside = (place >= a[group]) & (place < b[group])
+        return np.bincount(group, weights=np.where(inside, x * w, 0.0), minlength=len(begin))
+
+    def middle(x: np.ndarray, a: np.ndarray, n: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        if not len(x):
+            return np.full(len(a), np.nan)
+        low, high = (np.minimum(np.searchsorted(upto, upto[a] + rank, side="right") - 1, len(x) - 1) for rank in (np.maximum(n - 1, 0) // 2, n // 2))
+        return (x[low] + x[high]) / 2
+
+    def moments(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = upto[b] - upto[a]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = total(v, a, b) / n
+            return n, mean, np.sqrt(total((v - mean[group]) ** 2, a, b) / n)
+
+    a, b = begin.copy(), end.copy()
+    before = moments(a, b)[2]
+    low, high = np.full(len(a), np.nan), np.full(len(a), np.nan)
+    for _ in range(iterations):
+        n, mean, std = moments(a, b)
+        at = middle(v, a, n, upto) if centre == "median" else mean
+        if spread == "mad":
+            # Deviations of what is left, sorted within the slices; the rest goes behind them.
+            off = np.where((place >= a[group]) & (place < b[group]), np.abs(v - at[group]), np.inf)
+            order = np.lexsort((off, group))
+            std = MAD_TO_SIGMA * middle(off[order], begin, n, np.concatenate([[0], np.cumsum(w[order])]))
+        # What is left is empty: the bounds stay as they were.
+        some = b > a
+        low, high = np.where(some, at - k * std, low), np.where(some, at + k * std, high)
+        inside = (place >= a[group]) & (place < b[group])
+        under = np.bincount(group[inside & (v < low[group])], minlength=len(a))
+        over = np.bincount(group[inside & (v > high[group])], minlength=len(a))
+        a, b = a + under, b - over
+        if not (under.any() or over.any()):
+            break
+    n, mean, std = moments(a, b)
+    ends = [v[np.clip(x, 0, len(v) - 1)] if len(v) else np.full(len(a), np.nan) for x in (a, b - 1)]
+    return {"n": n, "mean": mean, "median": middle(v, a, n, upto), "std": std, "least": ends[0], "most": ends[1], "low": low, "high": high, "std_before": before}
+
+
+#: Columns that clipping a group gives.
+CLIPPED = "n long, mean double, median double, std double, least double, most double, low double, high double, std_before double"
+
+
+def _clip_lists(g: DataFrame, keys: list[str], k: float, iterations: int, centre: str, spread: str) -> DataFrame:
+    """Clip the lists ``_a`` of values, or of (v, n), of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            length = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            values, counts = (flat, None) if not pa.types.is_struct(flat.type) else (flat.field("v"), flat.field("n").to_numpy(zero_copy_only=False))
+            values = values.to_numpy(zero_copy_only=False)
+            order = np.lexsort((values, np.repeat(np.arange(len(length)), length)))
+            end = np.cumsum(length)
+            got = clip_slices(values[order], end - length, end, k, iterations, centre, spread, None if counts is None else counts[order])
+            none = got["n"] == 0
+            columns = [pa.array(x, mask=none | np.isnan(x) if name != "n" else None) for name, x in got.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *columns], [*keys, *got])
+
+    kinds = dict(g.dtypes)
+    return g.mapInArrow(work, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", {CLIPPED}")
 
 
 def clip_groups(df: DataFrame, keys: list[str], value: str | Column, k: float, *, iterations: int = 5, centre: str = "median", spread: str = "std") -> DataFrame:
-    """``keys``, kept (the sorted readings that are left), low and high (the last bounds), std_before (of all readings)."""
+    """``keys`` and ``CLIPPED`` of each group. Groups are gathered by one shuffle and clipped many at a time in Arrow batches."""
     v = F.col(value) if isinstance(value, str) else value
-    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(~F.isnan("_v"), F.col("_v")))).alias("_a"))
-    nothing = F.lit(None).cast("double")
-
-    def round_(state: Column, _: Column) -> Column:
-        a = state["kept"]
-
-        def bounded(m: Column) -> Column:
-            if spread == "std":
-                s = array_std(a, m["mean"])
-            else:
-                s = MAD_TO_SIGMA * array_median(F.sort_array(F.transform(a, lambda x: F.abs(x - m["centre"]))))
-            bounds = F.struct((m["centre"] - k * s).alias("low"), (m["centre"] + k * s).alias("high"))
-            return _let(bounds, lambda b: F.struct(F.filter(a, lambda x: (x >= b["low"]) & (x <= b["high"])).alias("kept"), b["low"].alias("low"), b["high"].alias("high")))
-
-        mean = array_mean(a)
-        return _let(F.struct(mean.alias("mean"), (array_median(a) if centre == "median" else mean).alias("centre")), bounded)
-
-    start = F.struct(F.col("_a").alias("kept"), nothing.alias("low"), nothing.alias("high"))
-    before = _let(array_mean(F.col("_a")), lambda m: array_std(F.col("_a"), m))
-    return g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, round_).alias("_s"), before.alias("std_before")).select(*keys, "_s.kept", "_s.low", "_s.high", "std_before")
+    g = df.select(*keys, v.cast("double").alias("_v")).groupBy(*keys).agg(F.collect_list(F.when(~F.isnan("_v"), F.col("_v"))).alias("_a"))
+    return _clip_lists(g, keys, k, iterations, centre, spread)
 
 
 def sigma_clip_stats(df: DataFrame, keys: list[str], value: str | Column, k: float, **how) -> DataFrame:
     """``keys``, n, mean, median, std of what sigma clipping leaves."""
-    g = clip_groups(df, keys, value, k, **how)
-    a = F.col("kept")
-    std = _let(array_mean(a), lambda m: array_std(a, m))
-    return g.select(*keys, F.size(a).alias("n"), array_mean(a).alias("mean"), array_median(a).alias("median"), std.alias("std"))
+    return clip_groups(df, keys, value, k, **how).select(*keys, "n", "mean", "median", "std")
 
 
 def sigma_clip_flags(df: DataFrame, keys: list[str], value: str, k: float, *, tolerance: float | None = None, **how) -> DataFrame:
@@ -88,34 +141,9 @@ def sigma_clip_counted(df: DataFrame, keys: list[str], value: str | Column, k: f
     counted before the group is brought together, so that it is as long as its number of distinct values."""
     v = F.col(value) if isinstance(value, str) else value
     h = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    g = h.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_n").alias("n")))).alias("_a"))
-    nothing = F.lit(None).cast("double")
-
-    def stats(a: Column, body) -> Column:
-        """``body`` of n, mean, median and std."""
-
-        def middle(n: Column) -> Column:
-            start = F.struct(F.lit(0).cast("long").alias("c"), nothing.alias("low"), nothing.alias("high"))
-
-            def step(s: Column, x: Column) -> Column:
-                to = s["c"] + x["n"]
-                pick = lambda rank, old: F.when((rank >= s["c"]) & (rank < to), x["v"]).otherwise(old)
-                return F.struct(to.alias("c"), pick(F.floor((n - 1) / 2), s["low"]).alias("low"), pick(F.floor(n / 2), s["high"]).alias("high"))
-
-            return F.aggregate(a, start, step, lambda s: (s["low"] + s["high"]) / 2)
-
-        total = F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-        first = lambda n: F.struct(n.alias("n"), (F.aggregate(a, F.lit(0.0), lambda s, x: s + x["v"] * x["n"]) / n).alias("mean"), middle(n).alias("median"))
-        square = lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x["v"] - m["mean"]) * (x["v"] - m["mean"]) * x["n"])
-        full = lambda m: F.struct(m["n"].alias("n"), m["mean"].alias("mean"), m["median"].alias("median"), F.sqrt(square(m) / m["n"]).alias("std"))
-        return _let(total, lambda n: _let(first(n), lambda m: _let(full(m), body)))
-
-    def round_(a: Column, _: Column) -> Column:
-        return stats(a, lambda s: F.filter(a, lambda x: (x["v"] >= s[centre] - k * s["std"]) & (x["v"] <= s[centre] + k * s["std"])))
-
-    g = g.select(*keys, F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), F.col("_a"), round_).alias("_a")).where(F.size("_a") > 0)
-    ends = [F.element_at("_a", k)["v"].alias(n) for k, n in ((1, "least"), (-1, "most"))] if extremes else []
-    return g.select(*keys, stats(F.col("_a"), lambda s: s).alias("_s"), *ends).select(*keys, "_s.n", "_s.mean", "_s.median", "_s.std", *(["least", "most"] if extremes else []))
+    g = h.groupBy(*keys).agg(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_n").alias("n"))).alias("_a"))
+    c = _clip_lists(g, keys, k, iterations, centre, "std").where("n > 0")
+    return c.select(*keys, "n", "mean", "median", "std", *(["least", "most"] if extremes else []))
 
 
 def sigma_clip_large(df: DataFrame, keys: list[str], value: str, k: float, *, iterations: int = 5, accuracy: int = 100_000) -> DataFrame:

@@ -48,14 +48,15 @@ def sky_pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, *, left_p
 def pixel_pairs(left: DataFrame, right: DataFrame, radius: float, *, by: list[str] | None = None, left_pos: tuple[str, str] = ("x", "y"), right_pos: tuple[str, str] = ("x", "y")) -> DataFrame:
     """All pairs within ``radius`` pixels (of equal ``by`` columns): ``l``, ``r``, ``dist``."""
     by = by or []
-    size = float(radius) * 1.0001
+    # Cells of two radii: a row on the right reaches into two of them along each axis, so it is copied four times, not nine.
+    size = 2 * float(radius) * 1.0001
 
     def placed(df: DataFrame, name: str, pos: tuple[str, str]) -> DataFrame:
         s = df.where(F.col(pos[0]).isNotNull() & F.col(pos[1]).isNotNull())
         return s.select(F.struct(*df.columns).alias(name), F.col(pos[0]).alias(f"_{name}x"), F.col(pos[1]).alias(f"_{name}y"), *(F.col(c).alias(f"_by_{c}") for c in by), F.floor(F.col(pos[0]) / size).alias("_cx"), F.floor(F.col(pos[1]) / size).alias("_cy"))
 
-    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    b = placed(right, "r", right_pos).withColumn("_cx", near("_cx")).withColumn("_cy", near("_cy"))
+    near = lambda p: F.explode(F.sequence(F.floor((F.col(p) - float(radius) * 1.00005) / size), F.floor((F.col(p) + float(radius) * 1.00005) / size)))
+    b = placed(right, "r", right_pos).withColumn("_cx", near("_rx")).withColumn("_cy", near("_ry"))
     pairs = placed(left, "l", left_pos).join(b, ["_cx", "_cy", *(f"_by_{c}" for c in by)])
     d2 = F.pow(F.col("_lx") - F.col("_rx"), 2) + F.pow(F.col("_ly") - F.col("_ry"), 2)
     return pairs.withColumn("dist", F.sqrt(d2)).where(d2 <= float(radius) ** 2).select("l", "r", "dist")
