@@ -178,16 +178,16 @@ def weighted_fit(t):
     return g.select("catalog_code", r((c("s") * c("sxy") - c("sx") * c("sy")) / det, 4).alias("slope"), r((c("sxx") * c("sy") - c("sx") * c("sxy")) / det, 4).alias("intercept"), r(c("s") / det).alias("slope_variance"))
 
 
-@query("width_bins", "SELECT bin, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median FROM (SELECT floor((mag_v - 8) / 0.5)::BIGINT AS bin, mag_b - mag_v AS v FROM calib WHERE mag_v >= 8 AND mag_v < 20 AND mag_b IS NOT NULL) GROUP BY bin")
+@query("width_bins", "SELECT bin, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS median FROM (SELECT floor((mag_v - 8) / 0.5)::BIGINT AS bin, mag_b - mag_v AS v FROM calib WHERE mag_v IS NOT NULL AND mag_b IS NOT NULL) GROUP BY bin")
 def width_bins(t):
-    d = t.calib.where("mag_v >= 8 AND mag_v < 20 AND mag_b IS NOT NULL").select(F.floor((c("mag_v") - 8) / 0.5).cast("long").alias("bin"), (c("mag_b") - c("mag_v")).alias("v"))
+    d = t.calib.where("mag_v IS NOT NULL AND mag_b IS NOT NULL").select(F.floor((c("mag_v") - 8) / 0.5).cast("long").alias("bin"), (c("mag_b") - c("mag_v")).alias("v"))
     return d.groupBy("bin").agg(F.count("*").alias("n"), r(F.percentile("v", 0.5)).alias("median"))
 
 
-@query("clip_fiducial", f"WITH {sql_clip('SELECT floor((mag_v - 8) / 0.5)::BIGINT AS bin, mag_b - mag_v AS v FROM calib WHERE mag_v >= 8 AND mag_v < 20 AND mag_b IS NOT NULL', 'bin', 3.0)} SELECT bin, {STATS} FROM c5 GROUP BY ALL")
+@query("clip_fiducial", f"WITH {sql_clip('SELECT floor((mag_v - 8) / 0.5)::BIGINT AS bin, mag_b - mag_v AS v FROM calib WHERE mag_v IS NOT NULL AND mag_b IS NOT NULL', 'bin', 3.0)} SELECT bin, {STATS} FROM c5 GROUP BY ALL")
 def clip_fiducial(t):
-    d = t.calib.where("mag_v >= 8 AND mag_v < 20 AND mag_b IS NOT NULL").withColumn("bin", F.floor((c("mag_v") - 8) / 0.5).cast("long"))
-    return _stats(sigma_clip_stats(d, ["bin"], c("mag_b") - c("mag_v"), 3.0))
+    d = t.calib.where("mag_v IS NOT NULL AND mag_b IS NOT NULL").withColumn("bin", F.floor((c("mag_v") - 8) / 0.5).cast("long"))
+    return _stats(sigma_clip_counted(d, ["bin"], c("mag_b") - c("mag_v"), 3.0))
 
 
 @query("histogram", "SELECT filter_name, floor(mags_fit / 0.25)::BIGINT AS bin, count(*) AS n FROM photometry WHERE mags_fit IS NOT NULL GROUP BY ALL")
@@ -250,11 +250,18 @@ def transform_colour(t):
     return d.where("b IS NOT NULL AND v IS NOT NULL").select("object_id", r(c("v") + 24.3 + term * (c("b") - c("v")), 9).alias("v_std"))
 
 
-@query("transform_air_mass", f"WITH f AS (SELECT image_id, min(airmass) AS x FROM frames GROUP BY 1) SELECT image_id, object_id, round(mags_fit + 24.3 + (0.05 - -0.012 * coalesce(x, 1.0)) * 0.6, 6) AS mag FROM photometry JOIN f USING (image_id) WHERE filter_name = 'V'")
+#: Colour terms T and k of each filter.
+_AIR_TERMS = {"B": (0.11, -0.02), "V": (0.05, -0.012), "R": (0.04, -0.01), "I": (0.03, -0.008)}
+
+
+@query("transform_air_mass", f"WITH f AS (SELECT image_id, coalesce(min(airmass), 1.0) AS x FROM frames GROUP BY 1), o AS (SELECT object_id, avg(mags_fit) FILTER (filter_name = 'B') - avg(mags_fit) FILTER (filter_name = 'V') AS colour FROM photometry WHERE filter_name IN ('B', 'V') GROUP BY 1) SELECT image_id, object_id, round(mags_fit + 24.3 + (CASE filter_name {' '.join(f'WHEN {b!r} THEN {a!r} - {k!r} * x' for b, (a, k) in _AIR_TERMS.items())} END) * colour, 4) AS mag FROM photometry JOIN f USING (image_id) JOIN o USING (object_id) WHERE colour IS NOT NULL")
 def transform_air_mass(t):
-    """Colour term that depends on air mass: c = T - k X, at a fixed colour."""
-    f = t.frames.groupBy("image_id").agg(F.min("airmass").alias("x"))
-    return t.photometry.where("filter_name = 'V'").join(f, "image_id").select("image_id", "object_id", r(c("mags_fit") + 24.3 + (0.05 + 0.012 * F.coalesce("x", F.lit(1.0))) * 0.6).alias("mag"))
+    """Colour term that depends on air mass, c = T - k X, for every filter, at the object's own colour."""
+    f = t.frames.groupBy("image_id").agg(F.coalesce(F.min("airmass"), F.lit(1.0)).alias("x"))
+    mean = {b: F.avg(F.when(c("filter_name") == b, c("mags_fit"))) for b in "BV"}
+    colour = t.photometry.where("filter_name IN ('B', 'V')").groupBy("object_id").agg((mean["B"] - mean["V"]).alias("colour")).where("colour IS NOT NULL")
+    term = F.coalesce(*(F.when(c("filter_name") == b, a - k * c("x")) for b, (a, k) in _AIR_TERMS.items()))
+    return t.photometry.join(f, "image_id").join(colour, "object_id").select("image_id", "object_id", r(c("mags_fit") + 24.3 + term * c("colour"), 4).alias("mag"))
 
 
 @query("bootstrap_zp", """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY mag_v, cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),

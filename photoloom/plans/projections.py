@@ -265,8 +265,10 @@ def magnitude_system_first(t):
     return t.calib.select("cal_id", r(P.sdss_g(c("mag_b"), c("mag_v"))).alias("g_prime"), r(first(P.sdss_r(c("mag_v"), c("mag_r")), c("mag_r"))).alias("r_prime"), r(first(P.sdss_i(c("mag_r"), c("mag_i")), c("mag_i"))).alias("i_prime"), how.alias("r_from"))
 
 
-@query("isochrone_magnitudes", f"WITH i AS (SELECT x AS k, y AS b_v FROM {sql_values([(float(k), 0.05 * k) for k in range(20)], 'x, y')}) SELECT k, round(5.0 + 1.5 * b_v, 6) AS v, round(5.0 + 1.5 * b_v + b_v, 6) AS b, round(5.0 + 1.5 * b_v - 0.55 * b_v, 6) AS r FROM i")
+@query("isochrone_magnitudes", "WITH i AS (SELECT vec_id, label, 5 + 1.5 * embedding[1]::DOUBLE AS v, embedding[2]::DOUBLE AS b_v, embedding[3]::DOUBLE AS v_r FROM embeddings) SELECT vec_id, label AS isochrone, round(v, 6) AS v, round(v + b_v, 6) AS b, round(v - v_r, 6) AS r FROM i")
 def isochrone_magnitudes(t):
-    """Magnitudes of a model from one magnitude and colours, each from the one before: B = V + (B-V), R = V - (V-R)."""
-    d = t.values([(float(k), 0.05 * k) for k in range(20)], "k double, b_v double").withColumn("_v", 5.0 + 1.5 * c("b_v"))
-    return d.select("k", r("_v").alias("v"), r(c("_v") + c("b_v")).alias("b"), r(c("_v") - 0.55 * c("b_v")).alias("r"))
+    """Magnitudes of the points of isochrones that give one magnitude and colours, each from the one before: B = V + (B-V),
+    R = V - (V-R)."""
+    e = lambda k: c("embedding")[k].cast("double")
+    v = 5 + 1.5 * e(0)
+    return t.embeddings.select("vec_id", c("label").alias("isochrone"), r(v).alias("v"), r(v + e(1)).alias("b"), r(v - e(2)).alias("r"))

@@ -17,20 +17,20 @@ _DAY = "(SELECT image_id, min(object_name) AS o, min(filter_name) AS f, min(ccd_
 
 def _frames(t: Tables):
     f = t.frames.groupBy("image_id").agg(F.min("object_name").alias("o"), F.min("filter_name").alias("f"), F.min("ccd_temp").alias("temp"))
-    return f.join(image_times(t.frames), "image_id").where("o IS NOT NULL AND jd IS NOT NULL").withColumn("night", F.floor("jd").cast("long"))
+    return f.join(image_times(t.frames), "image_id").where("jd IS NOT NULL").withColumn("night", F.floor("jd").cast("long"))
 
 
 _BY = "PARTITION BY o, floor(jd) ORDER BY jd, image_id"
 
 
-@query("running_median", f"SELECT image_id, round(quantile_cont(temp, 0.5) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS median FROM {_DAY} WHERE o IS NOT NULL AND jd IS NOT NULL AND temp IS NOT NULL")
+@query("running_median", f"SELECT image_id, round(quantile_cont(temp, 0.5) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS median FROM {_DAY} WHERE jd IS NOT NULL AND temp IS NOT NULL")
 def running_median(t):
     near = W.partitionBy("o", "night").orderBy("jd", "image_id").rowsBetween(-4, 4)
     d = _frames(t).where("temp IS NOT NULL").withColumn("a", F.array_sort(F.collect_list("temp").over(near)))
     return d.select("image_id", r(array_median(c("a"))).alias("median"))
 
 
-@query("shift_outlier", f"SELECT image_id, abs(temp - quantile_cont(temp, 0.5) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) > 0.45 AS odd FROM {_DAY} WHERE o IS NOT NULL AND jd IS NOT NULL AND temp IS NOT NULL")
+@query("shift_outlier", f"SELECT image_id, abs(temp - quantile_cont(temp, 0.5) OVER ({_BY} ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) > 0.45 AS odd FROM {_DAY} WHERE jd IS NOT NULL AND temp IS NOT NULL")
 def shift_outlier(t):
     near = W.partitionBy("o", "night").orderBy("jd", "image_id").rowsBetween(-4, 4)
     d = _frames(t).where("temp IS NOT NULL").withColumn("a", F.array_sort(F.collect_list("temp").over(near)))
@@ -70,12 +70,12 @@ def middle_slice(t):
     return d.withColumns({"k": F.row_number().over(one.orderBy("flux_fit", "object_id")), "n": F.count("*").over(one)}).where("n < 40 OR k BETWEEN 21 AND 40").select("image_id", "object_id")
 
 
-@query("sequence_id", f"SELECT image_id, row_number() OVER ({_BY}) - 1 AS seq FROM {_DAY} WHERE o IS NOT NULL AND jd IS NOT NULL")
+@query("sequence_id", f"SELECT image_id, row_number() OVER ({_BY}) - 1 AS seq FROM {_DAY} WHERE jd IS NOT NULL")
 def sequence_id(t):
     return _frames(t).select("image_id", (F.row_number().over(W.partitionBy("o", "night").orderBy("jd", "image_id")) - 1).cast("long").alias("seq"))
 
 
-@query("observing_blocks", f"WITH d AS (SELECT image_id, o, floor(jd) AS night, jd, CASE WHEN jd - lag(jd) OVER ({_BY}) > 0.02 THEN 1 ELSE 0 END AS new FROM {_DAY} WHERE o IS NOT NULL AND jd IS NOT NULL) SELECT image_id, CAST(sum(new) OVER (PARTITION BY o, night ORDER BY jd, image_id) AS BIGINT) AS block FROM d")
+@query("observing_blocks", f"WITH d AS (SELECT image_id, o, floor(jd) AS night, jd, CASE WHEN jd - lag(jd) OVER ({_BY}) > 0.02 THEN 1 ELSE 0 END AS new FROM {_DAY} WHERE jd IS NOT NULL) SELECT image_id, CAST(sum(new) OVER (PARTITION BY o, night ORDER BY jd, image_id) AS BIGINT) AS block FROM d")
 def observing_blocks(t):
     """Running number of the record group: a pause of more than half an hour begins a new one."""
     w = W.partitionBy("o", "night").orderBy("jd", "image_id")
