@@ -264,6 +264,10 @@ def transform_air_mass(t):
     return t.photometry.join(f, "image_id").join(colour, "object_id").select("image_id", "object_id", r(c("mags_fit") + 24.3 + term * c("colour"), 4).alias("mag"))
 
 
+#: Tasks that draws are spread over: their rows are few, but each is work.
+DRAW_TASKS = 96
+
+
 @query("bootstrap_zp", """WITH z AS (SELECT catalog_code, mag_v AS v, row_number() OVER (PARTITION BY catalog_code ORDER BY mag_v, cal_id) - 1 AS k FROM (SELECT DISTINCT cal_id, catalog_code, mag_v FROM calib WHERE mag_v IS NOT NULL)),
     n AS (SELECT catalog_code, count(*) AS n FROM z GROUP BY 1), j AS (SELECT catalog_code, n, unnest(range(CAST(floor(0.6 * n) AS BIGINT))) AS j FROM n WHERE n > 20),
     d AS (SELECT catalog_code, rep, ((rep * 7919 + j * 104729 + rep * j * 31) % n) AS k FROM j, range(1000) a(rep)), m AS (SELECT catalog_code, rep, quantile_cont(v, 0.5) AS m FROM d JOIN z USING (catalog_code, k) GROUP BY ALL)
@@ -279,7 +283,7 @@ def bootstrap_zp(t):
     bins = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(below), F.lit(0)))
     ranked = z.join(bins, ["catalog_code", "bin"]).withColumn("k", c("before") + F.row_number().over(W.partitionBy("catalog_code", "bin").orderBy("mag_v", "cal_id")) - 1)
     size = bins.groupBy("catalog_code").agg(F.sum("in_bin").alias("n")).where("n > 20")
-    d = size.select("catalog_code", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("rep")).repartition("catalog_code", "rep")
+    d = size.select("catalog_code", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("rep")).repartition(DRAW_TASKS, "catalog_code", "rep")
     drawn = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.floor(0.6 * c("n")) - 1), lambda j: (c("rep") * 7919 + j * 104729 + c("rep") * j * 31) % c("n")))
     d = d.select("catalog_code", "rep", drawn.alias("a")).select("catalog_code", "rep", F.explode(F.array(F.get("a", F.floor((F.size("a") - 1) / 2).cast("int")), F.get("a", F.floor(F.size("a") / 2).cast("int")))).alias("k"))
     m = d.join(ranked.select("catalog_code", "k", "mag_v"), ["catalog_code", "k"]).groupBy("catalog_code", "rep").agg(F.avg("mag_v").alias("m"))
