@@ -24,11 +24,12 @@ def _zone_cells(zone: Column, height: float) -> Column:
     return F.greatest(F.floor(F.cos(F.radians(edge)) * (360 / height)), F.lit(1)).cast("long")
 
 
-def sky_pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, *, left_pos: tuple[str, str] = ("ra_deg", "dec_deg"), right_pos: tuple[str, str] = ("ra_deg", "dec_deg")) -> DataFrame:
+def sky_pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, *, left_pos: tuple[str, str] = ("ra_deg", "dec_deg"), right_pos: tuple[str, str] = ("ra_deg", "dec_deg"), spread_by: str | None = None, ways: int = 8) -> DataFrame:
     """All pairs of rows within ``radius_arcsec``: ``l`` (struct of the left row), ``r`` (struct of the right row), ``sep_arcsec``.
 
     Rows with a null position pair with nothing; right ascension wraps at 360 degrees; zones meet at the poles. The right side is
-    the one that is copied into neighbouring cells, so it should be the smaller one.
+    the one that is copied into neighbouring cells, so it should be the smaller one.  Where many left rows may share a spot (a star
+    in all its images), ``spread_by`` names a left column by which a cell is split in ``ways``; the right side is copied into each.
     """
     height = max(radius_arcsec / 3600 * 1.0001, 1e-7)
 
@@ -41,7 +42,12 @@ def sky_pairs(left: DataFrame, right: DataFrame, radius_arcsec: float, *, left_p
     b = placed(right, "r", right_pos).withColumn("_zone", F.explode(F.sequence(F.col("_zone") - 1, F.col("_zone") + 1))).withColumn("_n", _zone_cells(F.col("_zone"), height))
     around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.pmod(F.col("_own") + k, F.col("_n"))))
     b = b.withColumn("_own", cell(F.col("_rra"))).withColumn("_cell", F.explode(around)).drop("_n", "_own")
-    pairs = a.join(b, ["_zone", "_cell"]).withColumn("sep_arcsec", separation_arcsec(F.col("_lra"), F.col("_ldec"), F.col("_rra"), F.col("_rdec")))
+    on = ["_zone", "_cell"]
+    if spread_by:
+        a = a.withColumn("_way", F.pmod(F.xxhash64(f"l.{spread_by}"), F.lit(ways)).cast("int"))
+        b = b.withColumn("_way", F.explode(F.array(*(F.lit(k) for k in range(ways)))))
+        on.append("_way")
+    pairs = a.join(b, on).withColumn("sep_arcsec", separation_arcsec(F.col("_lra"), F.col("_ldec"), F.col("_rra"), F.col("_rdec")))
     return pairs.where(F.col("sep_arcsec") <= radius_arcsec).select("l", "r", "sep_arcsec")
 
 

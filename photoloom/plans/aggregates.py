@@ -86,7 +86,7 @@ def zero_points(t: Tables):
     rows = rows.join(solutions(t), "image_id")
     ra, dec = pixel_to_sky(c("x_fit"), c("y_fit"), {x: c(x) for x in WCS_COLUMNS})
     rows = rows.select("image_id", "filter_name", "object_id", "mags_fit", ra.alias("ra_deg"), dec.alias("dec_deg"))
-    pairs = sky_pairs(rows, t.comp_stars.select("auid", "ra_deg", "dec_deg", "mag_v", "mag_b").distinct(), 2)
+    pairs = sky_pairs(rows, t.comp_stars.select("auid", "ra_deg", "dec_deg", "mag_v", "mag_b").distinct(), 2, spread_by="image_id")
     d = unambiguous(pairs.select("l.image_id", "l.filter_name", "l.object_id", "l.mags_fit", "r.auid", "r.mag_v", "r.mag_b"), ["image_id", "object_id"], ["image_id", "auid"])
     literature = F.when(c("filter_name") == "V", c("mag_v")).when(c("filter_name") == "B", c("mag_b"))
     return d.select("image_id", "filter_name", "auid", "object_id", (c("mag_b") - c("mag_v")).alias("colour"), (literature - c("mags_fit")).alias("v"))

@@ -18,6 +18,8 @@ def test_sky_pairs_with_wrap_and_poles(spark):
     a = spark.createDataFrame([*rows, (99, None, 1.0)], "i int, ra_deg double, dec_deg double")
     got = {(r.i, r.j) for r in sky_pairs(a, a.withColumnRenamed("i", "j"), 8.0).select("l.i", "r.j").collect()}
     assert got == {(x[0], y[0]) for x in rows for y in rows if sep(x, y) <= 8.0}
+    spread = {(r.i, r.j) for r in sky_pairs(a, a.withColumnRenamed("i", "j"), 8.0, spread_by="i", ways=3).select("l.i", "r.j").collect()}
+    assert spread == got
     assert sky_pairs(a, a, 8.0).count() == len(got) and sky_pairs(a.limit(0), a, 8.0).count() == 0
 
 
