@@ -9,15 +9,17 @@ scores* (``OUTSTANDING`` robust deviations above their median) and that an exact
 followed by the instrument's magnitude, and no longer than two readings.  Explicit rules go with the score: physical limits, and
 runs of one value.
 
-Layout: one shuffle on (source, filter, part).  A source of at most ``PLENTY`` readings is one part, and its forest is grown
-where it is scored, many sources side by side in NumPy.  A source with more is spread over its nights; a hash sample of its
-features (``SAMPLE`` readings) goes with each night, and the forest that is grown from it is the same in all of them, as all
-random choices are hashes of the source, the tree and the node.  No task holds more than a batch and one part.  Sources above
-``PLENTY`` are at most ``MOST_PLENTIFUL``, since the bound rises with the table; only their keys are broadcast.
+Layout: a source of at most ``PLENTY`` readings is one part of one shuffle, and its forest is grown where it is scored, many
+sources side by side in NumPy.  A source with more takes steps of its own, which give the same numbers to the last bit: features
+by night, exact medians by counting (``_medians``), and scores in chunks of its readings.  Each chunk has the readings that the
+trees draw (``TREES`` x ``PSI`` at most, about), so it grows the same forest: all random choices are hashes of the source, the
+reading, the tree and the node.  No task holds more than a batch and one part.  Sources above ``PLENTY`` are at most
+``MOST_PLENTIFUL``, since the bound rises with the table; their keys and medians are broadcast.  The bound is one of layout only.
 
 Defined results
 ---------------
-* repeated rows (same source, image) count once; a null or NaN value is no reading; a null source or image is ignored.
+* repeated rows (same source, filter, image) count once, the one of the least values; a null or NaN value is no reading; a null
+  source or image is ignored; a null filter is one of its own.
 * an image without a time gets only the rule of physical limits.
 * ties in time are ordered by image number; a night of one or two readings has no spikes, only limits apply to it.
 * an empty table gives an empty result; other columns of the input are not looked at.
@@ -31,17 +33,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from photoloom.session import cut
+
 #: A star in the night sky is never brighter than the first, and no detector reaches the second (magnitudes).
 LIMITS = (-2.0, 30.0)
 #: Readings of one value in a row that make a stuck run.
 STUCK = 6
 #: Trees, and readings for each tree, of an isolation forest.
 TREES, PSI = 16, 128
-#: Readings of a source that are kept in one part, the most sources that may have more, and the sample of such a source.
-PLENTY, MOST_PLENTIFUL, SAMPLE = 20_000, 65_536, 1024
+#: Readings of a source that are kept in one part, and the most sources that may have more.
+PLENTY, MOST_PLENTIFUL = 20_000, 65_536
+#: Cells of the axis, for each unit of it, in which exact medians are sought, and the sources whose cells by hour are broadcast.
+CELLS, FEW = 2**14, 4096
 #: A score stands out from this many robust deviations above the median score of its source.
 OUTSTANDING = 3.5
 #: The bounds of the exact check in units of the local spread: of the reading, of its difference to the instrument's magnitude,
@@ -115,24 +121,30 @@ def _expected(k: np.ndarray) -> np.ndarray:
     return np.where(k > 2, 2 * (np.log(np.maximum(k - 1, 1)) + 0.5772156649) - 2 * (k - 1) / k, np.where(k == 2, 1.0, 0.0))
 
 
-def forest_scores(x: np.ndarray, group: np.ndarray, seeds: np.ndarray, rows: np.ndarray, learns: np.ndarray) -> np.ndarray:
+def _draws(rows: np.ndarray, tree: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a tree learns from a reading of a source that has ``size`` to learn from: all of them, or about ``PSI``."""
+    return _unit(_hash(rows, tree)) * size < PSI
+
+
+def forest_scores(x: np.ndarray, group: np.ndarray, seeds: np.ndarray, rows: np.ndarray, learns: np.ndarray, size: np.ndarray | None = None) -> np.ndarray:
     """Isolation scores of the rows of ``x`` (features in columns), one forest for each group, all trees grown side by side.
 
     ``group`` numbers rise from 0 and lie side by side, ``seeds`` has one number for each.  Every node draws a feature and a cut
     between the least and the largest value of the readings that its tree learns from (of those that ``learns`` allows at most
     about ``PSI``, by a hash of ``rows``); all readings walk down.  A reading that is alone after ``d`` cuts has depth ``d``; one
-    in a node of ``n`` has ``d`` and what ``n`` readings take on average.
+    in a node of ``n`` has ``d`` and what ``n`` readings take on average.  ``size`` has the readings that a group learns from, where
+    only those are given that its trees draw.  The scores of a group do not depend on the other groups.
     """
     n, m = x.shape
     x = np.ascontiguousarray(x, dtype=np.float32).ravel()
-    size = np.bincount(group[learns], minlength=len(seeds))
-    levels = max(1, math.ceil(math.log2(max(2, min(PSI, size.max(initial=2))))))
+    size = np.bincount(group[learns], minlength=len(seeds)) if size is None else size
+    levels = math.ceil(math.log2(PSI))
     # Rows of a node lie side by side in ``here``; ``first`` has where each node begins, ``cuts`` how many lead to it.
     here = np.tile(np.arange(n, dtype=np.int32), TREES)
     tree = np.repeat(np.arange(TREES), n)
     learner = np.tile(learns, TREES)
     if size.max(initial=0) > PSI:
-        learner &= _unit(_hash(rows[here], tree)) * size[group][here] < PSI
+        learner &= _draws(rows[here], tree, size[group][here])
     everyone = bool(learner.all())
     first = np.flatnonzero(np.diff(tree * len(seeds) + group[here], prepend=-1))
     seed, cuts = _hash(seeds[group[here[first]]], tree[first]), np.zeros(len(first))
@@ -241,28 +253,16 @@ def _seasonal(v: np.ndarray, hour: np.ndarray, group: np.ndarray, n_groups: int,
     return np.clip(np.nan_to_num(off / spread[group]), -1e6, 1e6)
 
 
-def score_sources(v: np.ndarray, fit: np.ndarray, hour: np.ndarray, night: np.ndarray, source: np.ndarray, seeds: np.ndarray, rows: np.ndarray, samples: dict[int, np.ndarray] | None = None) -> dict[str, np.ndarray]:
-    """Scores and rules of readings, those of a source side by side, in time order within its nights. ``samples`` has, for a source
-    of which this is but one part, the sampled readings of the whole: row, hour, value and ``FEATURES`` in columns."""
+def score_sources(v: np.ndarray, fit: np.ndarray, hour: np.ndarray, night: np.ndarray, source: np.ndarray, seeds: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Scores and rules of readings, those of a source side by side, in time order within its nights."""
     got = night_features(v, fit, night)
-    n, x, learns = len(v), got["x"], got["ok"]
-    if samples:
-        learns = learns & ~np.isin(source, list(samples))
-        extra = [(np.full(len(a), k), a) for k, a in samples.items()]
-        more = np.concatenate([a for _, a in extra])
-        where = np.concatenate([source, *(k for k, _ in extra)])
-        order = np.argsort(where, kind="stable")
-        v, hour, x, learns, rows = (np.concatenate([a, b])[order] for a, b in ((v, more[:, 2]), (hour, more[:, 1].astype(np.int64)), (x, more[:, 3:]), (learns, np.ones(len(more), bool)), (rows, more[:, 0].astype(np.int64))))
-        source = where[order]
+    learns = got["ok"]
     season = _seasonal(v, hour, source, len(seeds), learns)
-    score = forest_scores(np.column_stack([x, season]), source, seeds, rows, learns)
+    score = forest_scores(np.column_stack([got["x"], season]), source, seeds, rows, learns)
     own = np.where(learns, score, np.nan)
     middle = _group_median(own, source, len(seeds))
     spread = 1.4826 * _group_median(np.abs(own - middle[source]), source, len(seeds))
     outstanding = score >= np.nan_to_num(middle + OUTSTANDING * spread, nan=np.inf)[source]
-    if samples:
-        mine = np.flatnonzero(order < n)
-        score, outstanding = score[mine], outstanding[mine]
     return {"score": score, "impossible": got["impossible"], "stuck": got["stuck"], "spike": outstanding & got["confirmed"]}
 
 
@@ -274,13 +274,23 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(change)
 
 
+def _names(filters: pd.Series) -> np.ndarray:
+    """Names of filters, None where there is none."""
+    return filters.astype(object).where(filters.notna(), None).to_numpy()
+
+
+def _seeds(objects: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    return _hash(objects, np.array([zlib.crc32((f or "").encode()) for f in names]), k)
+
+
 class _Part:
     """The readings of one batch of whole parts, column by column."""
 
     def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf[~((pdf["image_id"].diff() == 0) & (pdf["object_id"].diff() == 0)).to_numpy()]
-        self.pdf, self.name = pdf, pdf["filter_name"].fillna("").to_numpy()
-        jd = pdf["jd"].to_numpy(float)
+        name = _names(pdf["filter_name"])
+        repeated = np.diff(_starts(pdf["object_id"].to_numpy(), name, pdf["image_id"].to_numpy()), prepend=-1) == 0
+        self.pdf, self.name = pdf[~repeated], name[~repeated]
+        jd = self.pdf["jd"].to_numpy(float)
         self.hour = np.floor(np.nan_to_num(jd - np.floor(jd)) * 24).astype(np.int64)
 
     def of(self, col: str):
@@ -296,74 +306,124 @@ def _whole_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if pdf.empty:
             continue
-        if "sample" in pdf and pdf["sample"].isna().all():
-            pdf = pdf.drop(columns="sample")
-        name = pdf["filter_name"].fillna("").to_numpy()
-        part = _starts(pdf["object_id"].to_numpy(), name, pdf["part"].to_numpy())
-        begin = int(np.searchsorted(part, part[-1]))
-        if kept:
-            last = kept[-1].iloc[-1]
-            if (last["object_id"], last["filter_name"] or "", last["part"]) != (pdf["object_id"].iloc[0], name[0], pdf["part"].iloc[0]):
-                yield pd.concat(kept)
-                kept = []
+        keys = pdf["object_id"].to_numpy(), _names(pdf["filter_name"]), pdf["part"].to_numpy()
+        begin = int(np.searchsorted(part := _starts(*keys), part[-1]))
+        if kept and last != tuple(k[0] for k in keys):
+            yield pd.concat(kept)
+            kept = []
         if begin:
             yield pd.concat([*kept, pdf.iloc[:begin]])
             kept = []
         kept.append(pdf.iloc[begin:])
+        last = tuple(k[-1] for k in keys)
     if kept:
         yield pd.concat(kept)
 
 
-def _sampled(columns: list[str]):
-    """The features of a sample of readings of the sources that are spread over their nights."""
-
+def _work(columns: list[str]):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_parts(batches):
             part, out = _Part(pdf), []
             for k, col in enumerate(columns):
-                have, v, fit, hour, night, _ = part.of(col)
+                have, v, fit, hour, night, source = part.of(col)
                 if not have.any():
                     continue
-                got, at = night_features(v, fit, night), part.pdf[have]
-                rows = at["image_id"].to_numpy()
-                take = got["ok"] & (_unit(_hash(rows, at["object_id"].to_numpy(), 77)) * at["readings"].to_numpy() < SAMPLE)
-                table = np.column_stack([rows, hour, v, got["x"]])[take]
-                out.append(pd.DataFrame({"object_id": at["object_id"].to_numpy()[take], "filter_name": at["filter_name"].to_numpy()[take], "field": k, "row": [r.tobytes() for r in table]}))
+                at = part.pdf[have]
+                obj, name = at["object_id"].to_numpy(), part.name[have]
+                first = np.flatnonzero(np.diff(source, prepend=-1))
+                got = score_sources(v, fit, hour, night, source, _seeds(obj[first], name[first], k), at["image_id"].to_numpy())
+                out.append(pd.DataFrame({"image_id": at["image_id"].to_numpy(), "object_id": obj, "filter_name": at["filter_name"].to_numpy(), "field_name": col, "value": v, **got}))
             if out:
                 yield pd.concat(out)
 
     return work
 
 
-def _work(columns: list[str]):
+#: Columns of the features in tables: those of the night, and the seasonal one.
+X, SEASON = [f"x{i}" for i in range(len(FEATURES))], "season"
+
+RULES = "impossible boolean, stuck boolean, confirmed boolean, ok boolean"
+FEATURED = f"source int, chunks int, image_id int, object_id long, filter_name string, field int, hour int, value double, {', '.join(f'{x} double' for x in X)}, {RULES}"
+WALKED = f"source int, field int, image_id int, object_id long, filter_name string, value double, score double, {RULES}"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _featured(columns: list[str]):
+    """The features of the readings of whole nights."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_parts(batches):
-            heads = pdf["sample"].notna().to_numpy() if "sample" in pdf else np.zeros(len(pdf), bool)
-            shipped: dict[tuple, dict[int, np.ndarray]] = {}
-            for h in pdf[heads].itertuples():
-                table: dict[int, list[bytes]] = {}
-                for s in h.sample:
-                    table.setdefault(s["field"], []).append(s["row"])
-                shipped[(h.object_id, h.filter_name or "")] = {k: np.frombuffer(b"".join(sorted(b)), dtype=float).reshape(len(b), -1) for k, b in table.items()}
-            part, out = _Part(pdf[~heads]), []
+            part = _Part(pdf)
             for k, col in enumerate(columns):
-                have, v, fit, hour, night, source = part.of(col)
-                if not have.any():
-                    continue
-                at = part.pdf[have]
-                obj, name = at["object_id"].to_numpy(), part.name[have]
-                first = np.flatnonzero(np.diff(source, prepend=-1))
-                keys = list(zip(obj[first].tolist(), name[first].tolist(), strict=True))
-                seeds = _hash(obj[first], np.array([zlib.crc32(f.encode()) for _, f in keys]), k)
-                samples = {i: shipped[key][k] for i, key in enumerate(keys) if k in shipped.get(key, {})}
-                got = score_sources(v, fit, hour, night, source, seeds, at["image_id"].to_numpy(), samples)
-                out.append(pd.DataFrame({"image_id": at["image_id"].to_numpy(), "object_id": obj, "filter_name": at["filter_name"].to_numpy(), "field_name": col, "value": v, **got}))
-            if out:
-                yield pd.concat(out)
+                have, v, fit, hour, night, _ = part.of(col)
+                if have.any():
+                    got = night_features(v, fit, night)
+                    at = part.pdf.loc[have, ["source", "chunks", "image_id", "object_id", "filter_name"]]
+                    yield at.assign(field=k, hour=hour, value=v, **dict(zip(X, got.pop("x").T, strict=True)), **got)[_columns(FEATURED)]
 
     return work
 
 
+def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The readings that a tree of their source learns from."""
+    for pdf in batches:
+        rows, size = (pdf[c].to_numpy()[:, None] for c in ("image_id", "size"))
+        yield pdf[_draws(rows, np.arange(TREES), size).any(axis=1)]
+
+
+def _walked(drawn: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The scores of a chunk of the readings of one source, by the forest of its drawn readings."""
+    score = np.zeros(0)
+    if len(pdf):
+        x = np.concatenate([t[[*X, SEASON]].to_numpy(float) for t in (drawn, pdf)])
+        rows = np.concatenate([t["image_id"].to_numpy(np.int64) for t in (drawn, pdf)])
+        seed = _seeds(pdf["object_id"].to_numpy()[:1], _names(pdf["filter_name"])[:1], int(pdf["field"].iloc[0]))
+        score = forest_scores(x, np.zeros(len(x), np.int64), seed, rows, np.arange(len(x)) < len(drawn), pdf["size"].to_numpy()[:1])[len(drawn) :]
+    return pdf.assign(score=score)[_columns(WALKED)]
+
+
+def _medians(df: DataFrame, keys: list[str], column: str, name: str, *, few: bool = True) -> DataFrame:
+    """``keys``, size, ``name``: exact medians of a column of finite values, for groups of any size.
+
+    Counts in cells of the axis tell where the middle ranks are; only the values of these cells are put in order. The cells of
+    ``few`` groups are broadcast, so no value is moved that is in none of them."""
+    group = Window.partitionBy(*keys)
+    v = df.select(*keys, F.col(column).alias("v"), F.floor(F.col(column) * CELLS).alias("cell"))
+    counts = v.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    ranked = counts.select(*keys, "cell", "n", F.sum("n").over(group.orderBy("cell")).alias("seen"), F.sum("n").over(group).alias("size"))
+    middle = ranked.where("seen > (size - 1) div 2 AND seen - n <= size div 2").select(*keys, "cell", "size", (F.col("seen") - F.col("n")).alias("below"))
+    values = v.join(F.broadcast(middle) if few else middle, [*keys, "cell"]).groupBy(*keys, "size", "v").agg(F.count("*").alias("n"), F.min("below").alias("below"))
+    seen = F.min("below").over(group) + F.sum("n").over(group.orderBy("v"))
+    low, high = (F.min(F.when(F.col("seen") > F.expr(rank), F.col("v"))) for rank in ("(size - 1) div 2", "size div 2"))
+    return values.select(*keys, "size", "v", seen.alias("seen")).groupBy(*keys, "size").agg(((low + high) / 2).alias(name))
+
+
+def _score_plentiful(timed: DataFrame, columns: list[str], keys: list[str], order: list, *, few: bool) -> DataFrame:
+    """``SCORED`` of the sources that are too large for one part, number by number as ``score_sources`` has them."""
+    laid = timed.withColumn("part", F.col("night")).repartition(*keys, "part").sortWithinPartitions(*keys, "part", *order)
+    featured = cut(laid.mapInPandas(_featured(columns), FEATURED))
+    one = ["source", "field"]
+    hours = _medians(featured.where("ok"), [*one, "hour"], "value", "usual", few=few).groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("hour", "usual"))).alias("usual"))
+    off = featured.join(F.broadcast(hours), one, "left").withColumn("off", F.col("value") - F.try_element_at("usual", F.col("hour"))).drop("usual")
+    spreads = _medians(off.where("ok").withColumn("far", F.abs("off")), one, "far", "spread")
+    season = F.least(F.greatest(F.col("off") / F.greatest(1.4826 * F.col("spread"), F.lit(FLOOR)), F.lit(-1e6)), F.lit(1e6))
+    chunk = F.pmod(F.xxhash64("image_id"), F.col("chunks"))
+    ready = off.join(F.broadcast(spreads), one, "left").withColumns({SEASON: F.when(F.col("off").isNull(), 0.0).otherwise(season), "size": F.coalesce("size", F.lit(0)), "chunk": chunk})
+    learned = ready.where("ok").select(*one, "chunks", "image_id", "size", *X, SEASON)
+    drawn = learned.mapInPandas(_drawn, learned.schema).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - F.lit(1).cast("long"))))
+    part = [*one, "chunk"]
+    scored = cut(drawn.groupBy(*part).cogroup(ready.groupBy(*part)).applyInPandas(_walked, WALKED))
+    middles = F.broadcast(_medians(scored.where("ok"), one, "score", "middle").drop("size"))
+    placed = scored.join(middles, one, "left")
+    bounds = _medians(placed.where("ok").withColumn("far", F.abs(F.col("score") - F.col("middle"))), one, "far", "spread").drop("size")
+    outstanding = F.coalesce(F.col("score") >= F.col("middle") + OUTSTANDING * (1.4826 * F.col("spread")), F.lit(False))
+    field = F.element_at(F.array(*map(F.lit, columns)), F.col("field") + 1)
+    return placed.join(F.broadcast(bounds), one, "left").select("image_id", "object_id", "filter_name", field.alias("field_name"), "value", "score", "impossible", "stuck", (outstanding & F.col("confirmed")).alias("spike"))
+
+
 def score_readings(photometry: DataFrame, frames: DataFrame, columns: tuple[str, ...] = ("mag_cali_trans", "mag_cali_no_trans"), instrument: str = "mags_fit", *, plenty: int = PLENTY) -> DataFrame:
     """One row for each non-null reading of each of ``columns``: its score and which rules it breaks (``SCORED``)."""
     any_value = F.coalesce(*columns).isNotNull()
@@ -372,24 +432,22 @@ def score_readings(photometry: DataFrame, frames: DataFrame, columns: tuple[str,
     counts = rows.groupBy("object_id", "filter_name").agg(F.count("*").alias("readings"))
     bound = max(plenty, (rows.count() // MOST_PLENTIFUL))
     plentiful = counts.where(F.col("readings") > bound).collect()
+    keys = ["object_id", "filter_name"]
+    order = ["night", "jd", "image_id", *(F.col(c).asc_nulls_last() for c in (*columns, "fit"))]
     # Without a time, each image is its own night: only the limits can speak.
     night = F.coalesce(F.floor("jd"), -F.col("image_id").cast("long")).cast("long")
-    timed = rows.join(image_times(frames), "image_id", "left").withColumn("night", night)
-    keys = ["object_id", "filter_name"]
-    if not plentiful:
-        parted = timed.withColumns({"part": F.lit(0).cast("long"), "sample": F.lit(None).cast("array<struct<field:int,row:binary>>")})
-    else:
-        known = photometry.sparkSession.createDataFrame([(r["object_id"], r["filter_name"], r["readings"]) for r in plentiful], "_o long, _f string, readings long")
-        timed = timed.join(F.broadcast(known), F.col("object_id").eqNullSafe(F.col("_o")) & F.col("filter_name").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
-        parted = timed.withColumn("part", F.when(F.col("readings").isNotNull(), F.col("night")).otherwise(0))
-        spread = parted.where("readings IS NOT NULL")
-        laid = spread.repartition(*keys, "part").sortWithinPartitions(*keys, "part", "jd", "image_id")
-        sampled = laid.mapInPandas(_sampled(list(columns)), "object_id long, filter_name string, field int, row binary")
-        sample = sampled.groupBy(*keys).agg(F.collect_list(F.struct("field", "row")).alias("sample")).withColumnsRenamed({k: f"_{k}" for k in keys})
-        heads = spread.select(*keys, "part").distinct().join(sample, F.col("object_id").eqNullSafe(F.col("_object_id")) & F.col("filter_name").eqNullSafe(F.col("_filter_name")))
-        parted = parted.drop("readings").unionByName(heads.select(*keys, "part", "sample"), allowMissingColumns=True)
-    laid = parted.repartition(*keys, "part").sortWithinPartitions(*keys, "part", F.col("sample").isNull(), "night", "jd", "image_id")
-    return laid.mapInPandas(_work(list(columns)), SCORED)
+
+    def timed(rows: DataFrame) -> DataFrame:
+        return rows.join(image_times(frames), "image_id", "left").withColumn("night", night)
+
+    if plentiful:
+        known = photometry.sparkSession.createDataFrame([(k, -(-r["readings"] // max(1, bound)), r["object_id"], r["filter_name"]) for k, r in enumerate(plentiful)], "source int, chunks int, _o long, _f string")
+        rows = rows.join(F.broadcast(known), F.col("object_id").eqNullSafe(F.col("_o")) & F.col("filter_name").eqNullSafe(F.col("_f")), "left").drop("_o", "_f")
+        large = _score_plentiful(timed(rows.where("source IS NOT NULL")), list(columns), keys, order, few=len(plentiful) <= FEW)
+        rows = rows.where("source IS NULL").drop("source", "chunks")
+    laid = timed(rows).withColumn("part", F.lit(0).cast("long")).repartition(*keys).sortWithinPartitions(*keys, *order)
+    scored = laid.mapInPandas(_work(list(columns)), SCORED)
+    return scored.union(large) if plentiful else scored
 
 
 def spikes_found(photometry: DataFrame, frames: DataFrame) -> DataFrame:

@@ -114,3 +114,59 @@ def test_a_large_source_is_learned_from_a_subsample():
     got = score_sources(v, np.full(5000, np.nan), zero, zero, zero, np.array([5]), np.arange(5000))
     assert got["spike"].nonzero()[0].tolist() == [777]
     assert got["score"][777] == got["score"].max()
+
+
+def exact(spark, rows, frames, **how):
+    p, f = spark.createDataFrame(rows, PHOT), spark.createDataFrame(frames, "image_id int, jd double, date_obs timestamp, extra string")
+    return sorted(map(repr, score_readings(p, f, **how).collect()))
+
+
+def test_the_layout_changes_no_result(spark):
+    """Whole or in chunks, a source has the same scores to the last bit, repeated rows and all kinds of filters and values too."""
+    rows, frames = many_nights(nights=5, n=600)
+    rows = [(i, o, f, fit, v, v + 0.1 * (i % 7 > 2), e) for i, o, f, fit, v, _, e in rows]
+    rows[40:47] = [(*r[:4], 13.0123, *r[5:]) for r in rows[40:47]]
+    rows[90] = (*rows[90][:4], float("nan"), 99.0, "e")
+    rows += [(*r[:4], r[4] + 0.2, r[5] - 0.2, "again") for r in rows[::50]]
+    rows += [(i, o, f, fit, v, w, e) for i, o, _, fit, v, w, e in rows[:400] for f in (None, "")]
+    # A source without any reading that could be learned from, and images without a time.
+    rows += [(i, 2, "V", None, 99.0, None, "e") for i in range(200)] + [(10**6 + i, 1, "V", None, 13.0, 99.0, "e") for i in range(3)]
+    whole = exact(spark, rows, frames, plenty=10**6)
+    assert len(whole) == len(set(whole)) > 5000
+    assert whole == exact(spark, rows, frames, plenty=300) == exact(spark, rows, frames, plenty=1100)
+
+
+def test_the_size_of_the_table_changes_no_result(spark, monkeypatch):
+    """The bound rises with the rows of the table; what a source shows does not."""
+    rows, frames = many_nights(nights=4, n=600)
+    others = [(r[0], o, *r[2:]) for o in range(10, 20) for r in rows[:300]]
+    monkeypatch.setattr(spikes, "MOST_PLENTIFUL", 2)
+    alone, among = (exact(spark, t, frames, plenty=200) for t in (rows, rows + others))
+    assert alone == [r for r in among if "object_id=1," in r]
+
+
+def test_scores_do_not_depend_on_the_other_sources():
+    rng = np.random.default_rng(2)
+    v = 12 + 0.01 * rng.standard_normal(420)
+    v[5] += 0.5
+    source = np.repeat([0, 1], [20, 400])
+    both = score_sources(v, np.full(420, np.nan), np.zeros(420, int), source, source, np.array([5, 6]), np.arange(420))
+    for k in (0, 1):
+        m = source == k
+        zero = np.zeros(m.sum(), int)
+        one = score_sources(v[m], np.full(m.sum(), np.nan), zero, zero, zero, np.array([5 + k]), np.arange(420)[m])
+        assert all((one[c] == both[c][m]).all() for c in one)
+
+
+def test_an_image_counts_once_in_each_filter(spark):
+    rows = [(1, 7, f, None, 99.0, None, "e") for f in ("B", "V", None, "")] * 2
+    got = score_readings(*tables(spark, rows)).collect()
+    assert sorted(repr(r.filter_name) for r in got) == ["''", "'B'", "'V'", "None"]
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(4)
+    groups = {0: [0.25], 1: [3.0, 1.0], 2: [2.0] * 9 + [5.0] * 9, 3: rng.normal(14, 0.3, 1001).tolist(), 4: np.round(rng.normal(14, 1e-5, 1000), 6).tolist(), 5: [-1.5, 29.0, 3.0, 3.00001]}
+    df = spark.createDataFrame([(k, v) for k, g in groups.items() for v in g], "k int, v double")
+    got = {r.k: (r["size"], r.m) for r in spikes._medians(df, ["k"], "v", "m").collect()}
+    assert got == {k: (len(g), float(np.median(g))) for k, g in groups.items()}
